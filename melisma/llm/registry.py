@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from melisma.llm import packing, quality, simhash, urls
+from melisma.llm import packing, quality, secrets, simhash, urls
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1,
     "op3_packing": packing.op3,
     "op6_simhash": simhash.op6,
     "op8_url_filters": urls.op8,
