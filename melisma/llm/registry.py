@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from melisma.llm import packing, quality, secrets, simhash, urls
+from melisma.llm import lm, packing, quality, secrets, simhash, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
     "op3_packing": packing.op3,
     "op6_simhash": simhash.op6,
+    "op7_lm_scoring": lm.op7,
     "op8_url_filters": urls.op8,
     "op9_quality_rules": quality.op9,
 }
