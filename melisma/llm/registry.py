@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from melisma.llm import lm, packing, quality, secrets, simhash, urls
+from melisma.llm import lm, packing, quality, secrets, simhash, suffix, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
@@ -11,5 +11,6 @@ QUERIES = {
     "op7_lm_scoring": lm.op7,
     "op8_url_filters": urls.op8,
     "op9_quality_rules": quality.op9,
+    "op10_suffix_dedup": suffix.op10,
 }
 ORACLES: dict[str, str] = {}
