@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from melisma.llm import langid, lm, packing, quality, secrets, simhash, suffix, urls
+from melisma.llm import langid, lm, packing, passages, quality, secrets, simhash, suffix, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
     "op3_packing": packing.op3,
+    "op4_passage_dedup": passages.op4,
     "op5_language_id": langid.op5,
     "op6_simhash": simhash.op6,
     "op7_lm_scoring": lm.op7,
