@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,7 +173,7 @@ def _decided(out: Out, serial: int, docs, lo, n):
 
 def _first_pass(t: int, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, items, size, serial = Out(_SENT_ARROW, rows=1000), [], 0, 0
+        out, items, size, serial = Out(_SENT_ARROW, rows=1000), [], 0, TaskContext.get().partitionId() * 1_000_003
 
         def flush():
             nonlocal size, serial
