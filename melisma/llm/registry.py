@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from melisma.llm import langid, lm, packing, passages, quality, secrets, simhash, suffix, urls
+from melisma.llm import decontam, langid, lm, packing, passages, quality, secrets, simhash, suffix, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1,
+    "op2_decontamination": decontam.op2,
     "op3_packing": packing.op3,
     "op4_passage_dedup": passages.op4,
     "op5_language_id": langid.op5,
