@@ -135,10 +135,14 @@ def blobs(column: pa.ChunkedArray | pa.Array, kind) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) if x.is_valid else np.zeros(0, kind) for c in chunks for x in c]
 
 
-def joined(column, kind) -> tuple[np.ndarray, np.ndarray]:
-    """All values concatenated, and for each element the row it came from."""
-    parts = blobs(column, kind)
-    return (np.concatenate(parts) if parts else np.zeros(0, kind)), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+def planes(a: np.ndarray) -> bytes:
+    """An array's bytes with those of equal significance together: what is sorted, small or zero compresses."""
+    a = np.ascontiguousarray(a)
+    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+
+
+def from_planes(raw: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], *names: str):

@@ -9,6 +9,11 @@ is resolved without pairs: two fingerprints are within two bits of each other ex
 within one bit of both, so each is linked to the 65 values around it, and a value has at most 65 fingerprints near it.
 Hence neither many copies nor a crowded bucket makes the work grow with the square of a group.
 
+Texts of similarity 0.8 lie 5 to 14 bits apart (measured on the test tables), beyond any radius that covering can serve
+with a practical number of tables. Where whole groups of such copies are wanted, ``similar`` finds them by minimum hashes
+(one permutation, ``BINS`` bins, bands of ``BAND``), collapses equal texts first, and verifies candidates by the exact
+Jaccard similarity of their shingles; ``groups`` joins these links with those of the fingerprints.
+
 Defined results: null or empty text has fingerprint zero and links like any other; fewer than three words are one
 shingle; repeated rows give repeated output rows; an empty table gives no rows.
 """
@@ -20,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from melisma.llm.common import Out, rows_of, table, texts, words, written
+from melisma.llm.common import Out, mix, rows_of, table, texts, words, written
 from melisma.llm.components import components
 
 RADIUS, SEED, SHINGLE, SMALL = 2, 42, 3, 32
@@ -31,6 +36,21 @@ RADIUS, SEED, SHINGLE, SMALL = 2, 42, 3, 32
 _VECTORS = [1 + (3 * i) % 7 for i in range(64)]
 MASKS = [sum(1 << i for i, u in enumerate(_VECTORS) if (u & v).bit_count() % 2 == 0) for v in range(1, 8)]
 BLOCK = 1 << 16
+BINS, BAND = 128, 4
+
+
+def shingles(text: str, k: int) -> np.ndarray:
+    """64-bit hashes of a text's shingles of k words; fewer words are one shingle."""
+    w = words(text)
+    if not w:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
+    n = max(1, len(w) - k + 1)
+    with np.errstate(over="ignore"):
+        s = h[:n].copy()
+        for i in range(1, min(k, len(w))):
+            s = s * np.uint64(0x9E3779B97F4A7C55) + h[i : i + n]
+        return mix(s)
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -99,6 +119,109 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return marked.join(named, "fp")
 
 
+def _signature(s: np.ndarray) -> np.ndarray:
+    """One-permutation minimum hashes; an empty bin takes its value from the next full one."""
+    out = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
+    if not len(s):
+        return out
+    h = mix(s)
+    by = np.sort(h)
+    which = (by >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.concatenate([[True], which[1:] != which[:-1]])
+    out[which[first]] = by[first]
+    full = which[first]
+    source = np.searchsorted(full, np.arange(BINS))
+    far = np.where(source < len(full), full[np.minimum(source, len(full) - 1)], full[0])
+    return mix(out[far] + ((far - np.arange(BINS)) % BINS).astype(np.uint64))
+
+
+def _sketched(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out(pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("content", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+        for doc_id, text in rows_of(batches, "doc_id", "text"):
+            s = shingles(text, shingle)
+            content = int(np.bitwise_xor.reduce(mix(s + np.arange(len(s), dtype=np.uint64)))) if len(s) else 0
+            bands: list[int] = []
+            if len(s):
+                sig = _signature(s).reshape(-1, BAND)
+                with np.errstate(over="ignore"):
+                    h = np.arange(len(sig), dtype=np.uint64)
+                    for i in range(BAND):
+                        h = mix(h + sig[:, i])
+                bands = h.view(np.int64).tolist()
+            out.add(doc_id, _signed(fingerprint(text, shingle)), _signed(content), bands)
+            if out.full():
+                yield out.take()
+        yield out.take()
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out(pa.schema([("doc_id", pa.int64()), ("s", pa.binary())]))
+        for doc_id, text in rows_of(batches, "doc_id", "text"):
+            out.add(doc_id, np.unique(shingles(text, shingle)).tobytes())
+            if out.full():
+                yield out.take()
+        yield out.take()
+
+    return run
+
+
+def _alike(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Out(pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        for a, b, x, y in rows_of(batches, "a", "b", "sa", "sb"):
+            u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            if min(len(u), len(v)) < least * max(len(u), len(v)):
+                continue
+            common = len(np.intersect1d(u, v, assume_unique=True))
+            if common >= least * (len(u) + len(v) - common):
+                out.add(a, b)
+                if out.full():
+                    yield out.take()
+        yield out.take()
+
+    return run
+
+
+def similar(docs: DataFrame, sketched: DataFrame, least: float, shingle: int) -> DataFrame:
+    """Links a, b between documents of similarity ``least`` or more, one document standing for equal texts.
+
+    In a band's group every document is compared with the first one and with the one before it in two orders, so a group
+    of any size gives three pairs for each of its documents."""
+    one = sketched.where(F.size("bands") > 0).groupBy("content").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("x.doc_id", "x.bands")
+    band = one.select("doc_id", F.posexplode("bands").alias("i", "h"))
+    size = band.groupBy("i", "h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+    # the previous document in the order of the ids, and in that of a hash, among those of a slice of the group: a hot
+    # group is dealt over as many slices as it needs
+    met = band.join(size, ["i", "h"]).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), (F.col("n") / 256).cast("long"))))
+    slices = Window.partitionBy("i", "h", "slice")
+    met = met.select("doc_id", "first", F.lag("doc_id").over(slices.orderBy("doc_id")).alias("p"), F.lag("doc_id").over(slices.orderBy(F.xxhash64("doc_id"))).alias("q"))
+    pairs = met.select("doc_id", F.explode(F.array("first", "p", "q")).alias("o")).where("o IS NOT NULL AND o != doc_id")
+    pairs = written(pairs.select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b")).distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = written(texts(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "doc_id long, s binary"), "sets")
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    return both.mapInArrow(_alike(least), "a long, b long")
+
+
+def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, group_id (smallest id of its group): documents joined by fingerprints within the radius, by equal words,
+    or by a similarity of their shingles of ``similarity`` or more. Texts without words are groups of their own."""
+    sketched = written(texts(docs).mapInArrow(_sketched(shingle), "doc_id long, fp long, content long, bands array<long>"), "sketches")
+    nodes = sketched.where(F.size("bands") > 0).groupBy("fp").agg(F.min("doc_id").alias("first"))
+    near = links(nodes.select("fp"))
+    a, b = nodes.select(F.col("fp").alias("a"), F.col("first").alias("x")), nodes.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    by_print = near.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = sketched.where(F.size("bands") > 0).join(nodes, "fp").where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    equal = sketched.where(F.size("bands") > 0).groupBy("content").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    equal = sketched.join(equal, "content").select("a", F.col("doc_id").alias("b"))
+    parts = components(by_print.unionByName(same).unionByName(equal).unionByName(similar(docs, sketched, similarity, shingle)))
+    return sketched.select("doc_id").distinct().join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

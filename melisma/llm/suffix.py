@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from melisma.llm.common import U64, Out, buckets_for, cut, mix, rows_of, table, texts, written
+from melisma.llm.common import U64, Out, buckets_for, cut, from_planes, mix, planes, rows_of, table, texts, written
 
 T = 50
 #: Bytes of text whose records are sorted together before they are sent, and of a block of positions.
@@ -41,16 +41,6 @@ _SENT_ARROW = pa.schema([("bucket", pa.int64()), *((x, pa.binary()) for x in ("k
 _RUNS = "g long, kind long, docs binary, lo binary, n binary"
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """Bytes of equal significance together: what is zero or sorted compresses."""
-    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
-
-
-def _from_planes(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
-
-
 class Rolling:
     """Hashes of all substrings of a block by prefix sums of a polynomial modulo 2**64."""
 
@@ -158,7 +148,7 @@ def _send(out: Out, n_buckets: int, keys, second, docs, lo, n):
     full, edges = cut(keys, n_buckets)
     for b in full:
         s = slice(edges[b], edges[b + 1])
-        out.add(int(b), _planes(keys[s]), _planes(second[s]), _planes(docs[s]), _planes(lo[s].astype(np.uint32)), _planes(n[s].astype(np.uint32)))
+        out.add(int(b), planes(keys[s]), planes(second[s]), planes(docs[s]), planes(lo[s].astype(np.uint32)), planes(n[s].astype(np.uint32)))
         if out.full():
             yield out.take()
 
@@ -166,7 +156,7 @@ def _send(out: Out, n_buckets: int, keys, second, docs, lo, n):
 def _decided(out: Out, serial: int, docs, lo, n):
     """Records that are known to repeat a smaller document of the same chunk pass through."""
     if len(docs):
-        out.add(-1 - serial, b"", b"", _planes(docs), _planes(lo.astype(np.uint32)), _planes(n.astype(np.uint32)))
+        out.add(-1 - serial, b"", b"", planes(docs), planes(lo.astype(np.uint32)), planes(n.astype(np.uint32)))
         if out.full():
             yield out.take()
 
@@ -199,7 +189,7 @@ def _first_pass(t: int, n_buckets: int):
 
 def _records(group: pa.Table):
     kinds = {"keys": U64, "second": np.uint32, "docs": np.int64, "lo": np.uint32, "n": np.uint32}
-    return [np.concatenate([_from_planes(x, k) for x in group[name].to_pylist()]) for name, k in kinds.items()]
+    return [np.concatenate([from_planes(x, k) for x in group[name].to_pylist()]) for name, k in kinds.items()]
 
 
 def _reply(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], groups: int) -> pa.Table:
@@ -210,7 +200,7 @@ def _reply(parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], groups:
         edges = np.nonzero(np.concatenate([[True], g[by][1:] != g[by][:-1], [True]]))[0] if len(by) else [0]
         for a, z in zip(edges[:-1], edges[1:], strict=True):
             s = by[a:z]
-            rows.append((int(g[s[0]]), kind, _planes(docs[s]), _planes(lo[s].astype(np.uint32)), _planes(n[s].astype(np.uint32))))
+            rows.append((int(g[s[0]]), kind, planes(docs[s]), planes(lo[s].astype(np.uint32)), planes(n[s].astype(np.uint32))))
     cols = list(zip(*rows, strict=True)) or [()] * 5
     return pa.table({"g": pa.array(cols[0], pa.int64()), "kind": pa.array(cols[1], pa.int64()), **{x: pa.array(c, pa.binary()) for x, c in zip(("docs", "lo", "n"), cols[2:], strict=True)}})
 
@@ -236,7 +226,7 @@ def _merge_first(groups: int):
 
 
 def _records_decided(group: pa.Table):
-    docs, lo, n = (np.concatenate([_from_planes(x, k) for x in group[name].to_pylist()]) for name, k in (("docs", np.int64), ("lo", np.uint32), ("n", np.uint32)))
+    docs, lo, n = (np.concatenate([from_planes(x, k) for x in group[name].to_pylist()]) for name, k in (("docs", np.int64), ("lo", np.uint32), ("n", np.uint32)))
     return None, None, docs, lo, n
 
 
@@ -245,7 +235,7 @@ def _runs_told(told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not len(told):
         z = np.zeros(0, np.int64)
         return z, z, z
-    docs, lo, n = (np.concatenate([_from_planes(x, k) for x in told[name].to_pylist()]) for name, k in (("docs", np.int64), ("lo", np.uint32), ("n", np.uint32)))
+    docs, lo, n = (np.concatenate([from_planes(x, k) for x in told[name].to_pylist()]) for name, k in (("docs", np.int64), ("lo", np.uint32), ("n", np.uint32)))
     by = np.argsort(docs, kind="stable")
     return docs[by], lo[by].astype(np.int64), n[by].astype(np.int64)
 
