@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from melisma.llm.common import U64, Out, buckets_for, cut, id_crc, joined, mix, rows_of, table, texts, words, written
+from melisma.llm.common import U64, Out, buckets_for, cut, from_planes, id_crc, mix, planes, rows_of, table, texts, words, written
 
 #: Bytes of text in a chunk (a longer document is a chunk of its own); folds of the split; the fold that tunes weights.
 CHUNK, FOLDS, TEST_FOLD, TUNE_FOLD = 6 << 20, 10, 0, 1
@@ -48,7 +48,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = np.concatenate([h for _, _, h in rows])
         keys, tokens = np.unique(hashes, return_inverse=True)
         out = Out(_CHUNK_ARROW)
-        out.add((part << 32) + serial, tune, np.array([r[0] for r in rows], np.int64).tobytes(), np.array([len(r[2]) for r in rows], np.int64).tobytes(), np.array([r[1] for r in rows], np.bool_).tobytes(), tokens.astype(np.uint32).tobytes(), keys.tobytes())
+        out.add((part << 32) + 2 * serial + tune, tune, np.array([r[0] for r in rows], np.int64).tobytes(), np.array([len(r[2]) for r in rows], np.int64).tobytes(), np.array([r[1] for r in rows], np.bool_).tobytes(), planes(tokens.astype(np.uint32)), planes(keys))
         serial += 1
         return out.take()
 
@@ -73,7 +73,7 @@ class Chunk:
 
     def __init__(self, sizes: bytes, train: bytes, tokens: bytes, keys: bytes):
         self.sizes, self.train = np.frombuffer(sizes, np.int64), np.frombuffer(train, np.bool_)
-        self.tokens, self.keys = np.frombuffer(tokens, np.uint32), np.frombuffer(keys, U64)
+        self.tokens, self.keys = from_planes(tokens, np.uint32), from_planes(keys, U64)
         self.begin = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.trained = np.repeat(self.train, self.sizes)
         end = np.searchsorted(self.keys, END)
@@ -98,7 +98,7 @@ def _ask(n: int):
                 for b in full:
                     a, z = edges[b], edges[b + 1]
                     small = own[a:z].max() < 255
-                    out.add(int(b) * 2 + order, chunk, keys[a:z].tobytes(), own[a:z].astype(np.uint8 if small else np.uint32).tobytes())
+                    out.add(int(b) * 2 + order, chunk, planes(keys[a:z]), planes(own[a:z].astype(np.uint8 if small else np.uint32)))
                     if out.full():
                         yield out.take()
         yield out.take()
@@ -107,29 +107,34 @@ def _ask(n: int):
 
 
 def _merge(key: tuple, group: pa.Table) -> pa.Table:
-    """Totals of one key range, for each chunk those that differ from its own counts; chunk -1 has the range's sums."""
-    order = key[0].as_py() % 2
-    keys, source = joined(group["keys"], U64)
-    own = np.concatenate([np.frombuffer(c.as_py(), np.uint8 if len(c.as_py()) * 8 == len(k.as_py()) else np.uint32) for k, c in zip(group["keys"], group["counts"], strict=True)]).astype(np.int64)
+    """Totals of one key range: for each chunk the places (in its keys of the range) of those that differ from its own
+    counts, with the totals; chunk -1 has the range's sums."""
+    keys = [from_planes(k, U64) for k in group["keys"].to_pylist()]
+    own = np.concatenate([from_planes(c, np.uint8 if len(c) == len(k) else np.uint32) for k, c in zip(keys, group["counts"].to_pylist(), strict=True)]).astype(np.int64)
+    size = np.array([len(k) for k in keys], np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    keys = np.concatenate(keys)
     by = np.argsort(keys, kind="stable")
-    keys, source, own = keys[by], source[by], own[by]
-    start = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0]
-    sums = np.add.reduceat(own, start)
-    total = np.repeat(sums, np.diff(np.append(start, len(keys))))
-    tell = np.nonzero(total != own)[0]
-    tell = tell[np.argsort(source[tell], kind="stable")]
-    edges = np.searchsorted(source[tell], np.arange(len(group) + 1))
-    chunks = group["chunk"].to_pylist()
-    rows = [(chunks[i], keys[s].tobytes(), total[s].tobytes()) for i in range(len(group)) if len(s := tell[edges[i] : edges[i + 1]])]
-    rows.append((-1, b"", np.array([sums.sum(), (sums > 0).sum()], np.int64).tobytes()))
-    return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "ord": pa.array([order] * len(rows), pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "totals": pa.array([r[2] for r in rows], pa.binary())})
-
-
-def _totals(keys: np.ndarray, own: np.ndarray, told: pa.Table, order: int) -> np.ndarray:
-    total = own.astype(np.int64)
-    for o, k, t in zip(told["ord"].to_pylist(), told["keys"].to_pylist(), told["totals"].to_pylist(), strict=True):
-        if o == order:
-            total[np.searchsorted(keys, np.frombuffer(k, U64))] = np.frombuffer(t, np.int64)
+    sorted_keys = keys[by]
+    start = np.nonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))[0]
+    sums = np.add.reduceat(own[by], start)
+    total = np.empty(len(keys), np.int64)
+    total[by] = np.repeat(sums, np.diff(np.append(start, len(keys))))
+    rows = []
+    for chunk, a, n in zip(group["chunk"].to_pylist(), begin.tolist(), size.tolist(), strict=True):
+        at = np.nonzero(total[a : a + n] != own[a : a + n])[0]
+        if len(at):
+            t = total[a + at]
+            rows.append((chunk, planes(at.astype(np.uint32)), planes(t.astype(np.uint32 if t.max() < 1 << 32 else np.int64))))
+    rows.append((-1, b"", planes(np.array([sums.sum(), (sums > 0).sum()], np.int64))))
+    return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(rows), pa.int64()), "at": pa.array([r[1] for r in rows], pa.binary()), "totals": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def _totals(keys: np.ndarray, own: np.ndarray, told: pa.Table, order: int, n_buckets: int) -> np.ndarray:
+    total, edges = own.astype(np.int64), cut(keys, n_buckets)[1]
+    for b, at, t in zip(told["bucket"].to_pylist(), told["at"].to_pylist(), told["totals"].to_pylist(), strict=True):
+        if b % 2 == order:
+            total[edges[b // 2] + from_planes(at, np.uint32)] = from_planes(t, np.uint32 if len(t) == len(at) else np.int64)
     return total
 
 
@@ -156,14 +161,14 @@ def weights(hist: list[tuple[int, int, int, int]], v: int) -> np.ndarray:
     return lam
 
 
-def _held_out(n: int):
+def _held_out(n: int, n_buckets: int):
     """The histogram of a tuning chunk's estimates, each token deleted from the counts it is estimated by."""
 
     def run(_: tuple, left: pa.Table, told: pa.Table) -> pa.Table:
         rows: list[np.ndarray] = []
         for args in zip(*(left[x].to_pylist() for x in ("sizes", "train", "tokens", "keys")), strict=True):
             c = Chunk(*args)
-            one, two = _totals(c.keys, c.own1, told, 0), _totals(c.pairs, c.own2, told, 1)
+            one, two = _totals(c.keys, c.own1, told, 0, n_buckets), _totals(c.pairs, c.own2, told, 1, n_buckets)
             ctx = one[c.context] - 1
             with np.errstate(divide="ignore", invalid="ignore"):
                 p2 = np.where(ctx > 0, (two[c.pair] - 1) / np.maximum(ctx, 1), 0.0)
@@ -176,12 +181,12 @@ def _held_out(n: int):
     return run
 
 
-def _score(n: int, v: int, lam: np.ndarray):
+def _score(n: int, v: int, lam: np.ndarray, n_buckets: int):
     def run(_: tuple, left: pa.Table, told: pa.Table) -> pa.Table:
         cols: list[list] = [[] for _ in range(6)]
         for ids, *args in zip(*(left[x].to_pylist() for x in ("ids", "sizes", "train", "tokens", "keys")), strict=True):
             c = Chunk(*args)
-            one, two = _totals(c.keys, c.own1, told, 0), _totals(c.pairs, c.own2, told, 1)
+            one, two = _totals(c.keys, c.own1, told, 0, n_buckets), _totals(c.pairs, c.own2, told, 1, n_buckets)
             base = np.log10((one + ADD) / (n + ADD * (v + 1)))[c.tokens]
             ctx, w = one[c.context], lam[_bucket(one)][c.context]
             p = w[:, 0] * two[c.pair] / np.maximum(ctx, 1) + w[:, 1] * one[c.tokens] / max(n, 1) + w[:, 2] / (v + 1)
@@ -204,20 +209,20 @@ def score(docs: DataFrame) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a chunk is a batch of its own
     n_buckets = buckets_for(docs)
     asked = chunks.mapInArrow(_ask(n_buckets), "bucket long, chunk long, keys binary, counts binary")
-    told = written(asked.groupBy("bucket").applyInArrow(_merge, "chunk long, ord long, keys binary, totals binary"), "totals")
+    told = written(asked.groupBy("bucket").applyInArrow(_merge, "chunk long, bucket long, at binary, totals binary"), "totals")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    sums = told.where("chunk = -1 AND ord = 0").select("totals").toLocalIterator()
+    sums = told.where("chunk = -1 AND bucket % 2 = 0").select("totals").toLocalIterator()
     n = v = 0
     for (raw,) in sums:  # two numbers for each key range
-        a, b = np.frombuffer(raw, np.int64)
+        a, b = from_planes(raw, np.int64)
         n, v = n + int(a), v + int(b)
     told = told.where("chunk >= 0")
     tune = chunks.where("tune")
-    hist = tune.groupBy("chunk").cogroup(told.join(tune.select("chunk"), "chunk", "left_semi").groupBy("chunk")).applyInArrow(_held_out(n), "b long, q2 long, q1 long, n long")
+    hist = tune.groupBy("chunk").cogroup(told.where("chunk % 2 = 1").groupBy("chunk")).applyInArrow(_held_out(n, n_buckets), "b long, q2 long, q1 long, n long")
     # the bins bound this table, whatever the corpus
     lam = weights([tuple(r) for r in hist.groupBy("b", "q2", "q1").agg(F.sum("n")).collect()], v)
     out = chunks.groupBy("chunk").cogroup(told.groupBy("chunk"))
-    return out.applyInArrow(_score(n, v, lam), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long")
+    return out.applyInArrow(_score(n, v, lam, n_buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, train_tokens long")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
