@@ -82,17 +82,12 @@ def word_accents(word: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(word, F.lit(f"([{ACCENTS}])"), 1))
 
 
-def word_rank(word: Column, poetic: Column | bool = False) -> Column:
+def word_rank(word: Column, poetic: bool = False) -> Column:
     """The least rank of a word's dividing accents in the chosen system; null if it has none."""
-
-    def least(ranks: dict[int, str]) -> Column:
-        out = F.lit(None).cast("int")
-        for rank in sorted(ranks, reverse=True):
-            out = F.when(word.rlike(f"[{ranks[rank]}]"), rank).otherwise(out)
-        return out
-
-    flag = F.lit(poetic) if isinstance(poetic, bool) else poetic
-    return F.when(flag, least(POETIC_RANKS)).otherwise(least(PROSE_RANKS))
+    ranks, out = POETIC_RANKS if poetic else PROSE_RANKS, F.lit(None).cast("int")
+    for rank in sorted(ranks, reverse=True):
+        out = F.when(word.rlike(f"[{ranks[rank]}]"), rank).otherwise(out)
+    return out
 
 
 def is_poetic(verse: Column) -> Column:

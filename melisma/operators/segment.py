@@ -6,6 +6,8 @@ steps are expressions over the verse's arrays. A verse table keyed by (doc_id, v
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,11 @@ from melisma.functions import text as T
 def cut_ranges(ranks: list[int | None], most: int) -> list[tuple[int, int]]:
     """Ranges (first, last) of at most ``most`` words. A longer range is cut after the word (not its last) of the least
     rank, the one nearest the middle of equals, the first of these; without any rank, in half."""
+    places: dict[int, list[int]] = {}
+    for i, r in enumerate(ranks):
+        if r is not None:
+            places.setdefault(r, []).append(i)
+    by_rank = sorted(places.items())
     out, open_ranges = [], [(0, len(ranks) - 1)] if ranks else []
     while open_ranges:
         lo, hi = open_ranges.pop()
@@ -23,8 +30,13 @@ def cut_ranges(ranks: list[int | None], most: int) -> list[tuple[int, int]]:
         if n <= most:
             out.append((lo, hi))
             continue
-        best = min(((ranks[i], abs(2 * (i - lo) - (n - 1)), i) for i in range(lo, hi) if ranks[i] is not None), default=None)
-        at = best[2] if best else lo + n // 2 - 1
+        at = lo + n // 2 - 1
+        for _, p in by_rank:
+            k = bisect.bisect_right(p, (lo + hi) // 2)
+            near = [i for i in p[max(0, k - 1) : k + 1] if lo <= i < hi]
+            if near:
+                at = min(near, key=lambda i: (abs(2 * i - lo - hi), i))
+                break
         open_ranges += [(at + 1, hi), (lo, at)]  # the left part first
     return out
 
@@ -36,11 +48,16 @@ def split_unit(ranks: Column, most: int = 4) -> Column:
 
     @F.pandas_udf("array<struct<lo:int,hi:int>>")
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda r: [] if r is None else [{"lo": a, "hi": b} for a, b in cut_ranges([None if v is None or v != v else int(v) for v in r], most)])
+        return x.map(lambda r: [] if r is None else [{"lo": a, "hi": b} for a, b in cut_ranges([None if v is None or v != v else int(v) for v in r.tolist()], most)])
 
     return run(ranks)
 
 
+def word_ranks(words: Column, poetic: Column) -> Column:
+    """Ranks of a verse's words; the system is chosen once, outside the functions of a word."""
+    return F.when(poetic, F.transform(words, lambda w: T.word_rank(w, True))).otherwise(F.transform(words, lambda w: T.word_rank(w, False)))
+
+
 def best_cut_index(ranks: Column) -> Column:
     """The word after which a range is cut first; null if no word but the last has a rank. A native expression."""
     n = F.size(ranks)
@@ -61,7 +78,7 @@ def cut_verses(verses: DataFrame, most: int = 4, text: str = "text", clean: bool
     """The verse rows with words, ranks and ranges: clean, tokenise, choose the accent system of the verse, cut."""
     cleaned = verses.withColumn("_clean", T.clean_text(F.col(text)) if clean else F.col(text))
     worded = cleaned.withColumn("words", T.tokens(F.col("_clean"))).withColumn("_poetic", T.is_poetic(F.array_join("words", " ")))
-    ranked = worded.withColumn("ranks", F.transform("words", lambda w: T.word_rank(w, F.col("_poetic"))))
+    ranked = worded.withColumn("ranks", word_ranks(F.col("words"), F.col("_poetic")))
     return ranked.withColumn("ranges", split_unit(F.col("ranks"), most)).drop("_clean", "_poetic")
 
 

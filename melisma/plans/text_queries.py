@@ -104,7 +104,7 @@ def special_markings(spark, d):
     return read(spark, d, "pages").where(T.unescape(F.regexp_replace("html", "<[^>]+>", "")).rlike(r"[\[\]()<>]")).select("page_id")
 
 
-@query("accent_check", with_("verse", "SELECT doc_id, count(*) AS verses, count_if(regexp_matches(text, '[֑-֯]')) AS accented FROM verse GROUP BY doc_id"))
+@query("accent_check", with_("verse", "SELECT doc_id, count(*) AS verses, CAST(count_if(regexp_matches(text, '[֑-֯]')) AS BIGINT) AS accented FROM verse GROUP BY doc_id"))
 def accent_check(spark, d):
     return verses(spark, d).groupBy("doc_id").agg(F.count("*").alias("verses"), F.count_if(F.col("text").rlike("[֑-֯]")).alias("accented"))
 
@@ -120,12 +120,12 @@ def raw_split(spark, d):
     return verses(spark, d).select("doc_id", "s", F.size(F.filter(F.split("text", r"\s+"), lambda x: x != "")).cast("long").alias("words"))
 
 
-@query("accent_frequency", with_("word", f"SELECT cp, CAST(sum(k) AS BIGINT) AS n, count_if(k > 1) AS words_with_several FROM (SELECT cp, count(*) AS k FROM (SELECT doc_id, s, i, unnest(regexp_extract_all(word, '[{T.ACCENTS}]')) AS cp FROM word) GROUP BY doc_id, s, i, cp) GROUP BY cp"))
+@query("accent_frequency", with_("word", f"SELECT cp, CAST(sum(k) AS BIGINT) AS n, CAST(count_if(k > 1) AS BIGINT) AS words_with_several FROM (SELECT cp, count(*) AS k FROM (SELECT doc_id, s, i, unnest(regexp_extract_all(word, '[{T.ACCENTS}]')) AS cp FROM word) GROUP BY doc_id, s, i, cp) GROUP BY cp"))
 def accent_frequency(spark, d):
     return quality.accent_frequencies(words(spark, d))
 
 
-@query("zarqa_decision", with_("word", "SELECT sum(len(regexp_extract_all(word, '[֘]'))) AS zarqa, sum(len(regexp_extract_all(word, '[֮]'))) AS zinor, sum(len(regexp_extract_all(word, '[֘]'))) > sum(len(regexp_extract_all(word, '[֮]'))) AS zarqa_leads FROM word"))
+@query("zarqa_decision", with_("word", "SELECT CAST(sum(len(regexp_extract_all(word, '[֘]'))) AS BIGINT) AS zarqa, CAST(sum(len(regexp_extract_all(word, '[֮]'))) AS BIGINT) AS zinor, sum(len(regexp_extract_all(word, '[֘]'))) > sum(len(regexp_extract_all(word, '[֮]'))) AS zarqa_leads FROM word"))
 def zarqa_decision(spark, d):
     count = lambda c: F.sum(F.size(F.regexp_extract_all("word", F.lit(f"({c})"), 1)))
     a, b = count("֘"), count("֮")
@@ -154,8 +154,7 @@ def _upto(name: str) -> dict[str, str]:
 @query("best_cut_index", with_("listed", f"SELECT doc_id, s, CAST({_BEST.format('0', '(len(ranks) - 1)')} AS INT) AS cut FROM ranked", {"ranked": _RANKED}))
 def best_cut_index(spark, d):
     v = verses(spark, d).select("doc_id", "s", T.tokens(T.clean_text(F.col("text"))).alias("ws")).where(F.size("ws") > 0)
-    poetic = T.is_poetic(F.array_join("ws", " "))
-    ranked = v.withColumn("p", poetic).select("doc_id", "s", F.transform("ws", lambda w: T.word_rank(w, F.col("p"))).alias("ranks"))
+    ranked = v.select("doc_id", "s", segment.word_ranks(F.col("ws"), T.is_poetic(F.array_join("ws", " "))).alias("ranks"))
     return ranked.select("doc_id", "s", segment.best_cut_index(F.col("ranks")).alias("cut"))
 
 

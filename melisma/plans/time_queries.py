@@ -221,7 +221,7 @@ def window_guards(spark, d):
 
 
 # Words of overlapping windows: the first word of each window is also the last of the one before.
-_OVER = "SELECT rec_id, k // 6 AS win_ix, k AS word_ix, t AS start, t + value / 50 AS end_, 0.5 AS score FROM rec UNION ALL SELECT rec_id, k // 6 - 1, k, t + 0.3, t + 0.1, 0.4 FROM rec WHERE k % 6 = 0 AND k > 0"
+_OVER = "SELECT rec_id, k // 6 AS win_ix, k AS word_ix, t AS start, t + value / 50 AS end_, CAST(0.5 AS DOUBLE) AS score FROM rec UNION ALL SELECT rec_id, k // 6 - 1, k, t + 0.3, t + 0.1, CAST(0.4 AS DOUBLE) FROM rec WHERE k % 6 = 0 AND k > 0"
 
 
 @query("stitch", with_("rec", "SELECT rec_id, word_ix, round(s, 6) AS start, round(greatest(end_, s), 6) AS finish, score FROM (SELECT *, max(start - word_ix * 0.02) OVER (PARTITION BY rec_id ORDER BY word_ix ROWS UNBOUNDED PRECEDING) + word_ix * 0.02 AS s FROM (SELECT *, row_number() OVER (PARTITION BY rec_id, word_ix ORDER BY win_ix) AS r FROM over_) WHERE r = 1)", {"over_": _OVER}))
@@ -351,7 +351,7 @@ def speech_mask(spark, d):
 _SPEECH = "SELECT rec_id, k, event_type NOT IN ('click', 'error') AS s FROM rec"
 
 
-@query("find_pauses", with_("rec", "SELECT rec_id, min(k) * 0.1 AS start, (max(k) + 1) * 0.1 AS finish FROM (SELECT *, sum(c) OVER (PARTITION BY rec_id ORDER BY k) AS run FROM (SELECT *, CASE WHEN lag(s) OVER (PARTITION BY rec_id ORDER BY k) IS DISTINCT FROM s THEN 1 ELSE 0 END AS c FROM (SELECT *, min(CASE WHEN s THEN k END) OVER (PARTITION BY rec_id) AS a, max(CASE WHEN s THEN k END) OVER (PARTITION BY rec_id) AS z FROM speech) WHERE k BETWEEN a AND z)) WHERE NOT s GROUP BY rec_id, run HAVING (max(k) + 1 - min(k)) * 0.1 >= 0.22", {"speech": _SPEECH}))
+@query("find_pauses", with_("rec", "SELECT rec_id, CAST(min(k) * 0.1 AS DOUBLE) AS start, CAST((max(k) + 1) * 0.1 AS DOUBLE) AS finish FROM (SELECT *, sum(c) OVER (PARTITION BY rec_id ORDER BY k) AS run FROM (SELECT *, CASE WHEN lag(s) OVER (PARTITION BY rec_id ORDER BY k) IS DISTINCT FROM s THEN 1 ELSE 0 END AS c FROM (SELECT *, min(CASE WHEN s THEN k END) OVER (PARTITION BY rec_id) AS a, max(CASE WHEN s THEN k END) OVER (PARTITION BY rec_id) AS z FROM speech) WHERE k BETWEEN a AND z)) WHERE NOT s GROUP BY rec_id, run HAVING (max(k) + 1 - min(k)) * 0.1 >= 0.22", {"speech": _SPEECH}))
 def find_pauses(spark, d):
     mask = recordings(spark, d).select("rec_id", F.col("k").alias("frame"), (~F.col("event_type").isin("click", "error")).alias("is_speech"))
     p = signal.find_pauses(mask, 0.1, 0.22)[0]
@@ -386,10 +386,10 @@ def analyze_timing(spark, d):
     return signal.analyze(s, pauses, bounds.join(n, "rec_id"))
 
 
-@query("word_spans", with_("rec", "SELECT rec_id, k // 3 AS word_ix, round(min(t), 6) AS start, round(max(t) + 0.1, 6) AS finish, round(avg(value), 6) AS score FROM rec GROUP BY rec_id, k // 3"))
+@query("word_spans", with_("rec", "SELECT rec_id, k // 3 AS word_ix, round(min(t), 6) AS start, round(max(t), 6) AS finish, round(avg(value), 6) AS score FROM rec GROUP BY rec_id, k // 3"))
 def word_spans(spark, d):
     g = recordings(spark, d).groupBy("rec_id", F.floor(F.col("k") / 3).cast("int").alias("word_ix"))
-    return g.agg(r6(F.min("t"), "start"), r6(F.max("t") + 0.1, "finish"), r6(F.avg("value"), "score"))
+    return g.agg(r6(F.min("t"), "start"), r6(F.max("t"), "finish"), r6(F.avg("value"), "score"))
 
 
 # Quality.
@@ -406,7 +406,7 @@ def verse_start_flags(spark, d):
     return quality.verse_start_flags(_segments(spark, d))
 
 
-@query("anchor_distances", with_("rec", "SELECT r.rec_id, r.seg_ix, min(CASE WHEN ref IS NOT NULL THEN greatest(lo - ref, ref - hi, 0) END) AS anchor_dist FROM range_ r LEFT JOIN (SELECT rec_id, k AS ref FROM rec WHERE k % 25 = 9) a ON a.rec_id = r.rec_id GROUP BY r.rec_id, r.seg_ix", {"seg": _SEG, "range_": _RANGE}))
+@query("anchor_distances", with_("rec", "SELECT r.rec_id, r.seg_ix, min(CASE WHEN ref IS NOT NULL THEN greatest(lo - ref, ref - hi, 0) END) :: BIGINT AS anchor_dist FROM range_ r LEFT JOIN (SELECT rec_id, k AS ref FROM rec WHERE k % 25 = 9) a ON a.rec_id = r.rec_id GROUP BY r.rec_id, r.seg_ix", {"seg": _SEG, "range_": _RANGE}))
 def anchor_distances(spark, d):
     a = recordings(spark, d).where("k % 25 = 9").select("rec_id", F.col("k").alias("ref"))
     return quality.anchor_distances(quality.word_ranges(_segments(spark, d)), a)
@@ -476,7 +476,7 @@ def report_file(spark, d):
 
 # Three methods of timing against the truth, by rule.
 _PRED = "SELECT m.method, o_orderkey AS seg_ix, o_totalprice / 1000 + CASE m.method WHEN 'even' THEN (o_custkey % 41 - 20) / 9.0 WHEN 'single' THEN (o_custkey % 17 - 8) / 7.0 ELSE (o_custkey % 9 - 4) / 13.0 END AS p, o_totalprice / 1000 AS t FROM orders, (SELECT unnest(['even', 'single', 'hybrid']) AS method) m"
-_METRIC = "SELECT method, count(*) AS n, round(list_sort(list(abs(p - t)))[CAST(count(*) // 2 AS INT) + 1], 6) AS median_abs, round(max(abs(p - t)), 6) AS max_abs, round(100.0 * count_if(abs(p - t) <= 0.5) / count(*), 6) AS pct_within_05, round(100.0 * count_if(abs(p - t) <= 1.0) / count(*), 6) AS pct_within_10, count_if(p - t < -0.2) AS early, count_if(p - t > 0.2) AS late FROM pred GROUP BY method"
+_METRIC = "SELECT method, count(*) AS n, round(list_sort(list(abs(p - t)))[CAST(count(*) // 2 AS INT) + 1], 6) AS median_abs, round(max(abs(p - t)), 6) AS max_abs, round(100.0 * count_if(abs(p - t) <= 0.5) / count(*), 6) AS pct_within_05, round(100.0 * count_if(abs(p - t) <= 1.0) / count(*), 6) AS pct_within_10, CAST(count_if(p - t < -0.2) AS BIGINT) AS early, CAST(count_if(p - t > 0.2) AS BIGINT) AS late FROM pred GROUP BY method"
 
 
 def _errors(spark, d):
@@ -513,7 +513,7 @@ def equal_split_baseline(spark, d):
     return s.select("rec_id", "seg_ix", r6(F.col("start"), "start"))
 
 
-@query("run_counters", with_("rec", "SELECT rec_id, count(DISTINCT k // 12) AS verses, count(DISTINCT k // 4) AS segments, count(*) AS words, count_if(k % 10 = 3) AS anchors, count_if(event_id % 17 = 0) AS interpolated FROM rec GROUP BY rec_id"))
+@query("run_counters", with_("rec", "SELECT rec_id, count(DISTINCT k // 12) AS verses, count(DISTINCT k // 4) AS segments, count(*) AS words, CAST(count_if(k % 10 = 3) AS BIGINT) AS anchors, CAST(count_if(event_id % 17 = 0) AS BIGINT) AS interpolated FROM rec GROUP BY rec_id"))
 def run_counters(spark, d):
     s = _segments(spark, d).groupBy("rec_id").agg(F.count_distinct("verse").alias("verses"), F.count("*").alias("segments"), F.sum("n_words").alias("words"))
     x = _spans(spark, d).groupBy("rec_id").agg(F.count_if(F.col("word_ix") % 10 == 3).alias("anchors"), F.count_if("interpolated").alias("interpolated"))
