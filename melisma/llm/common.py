@@ -72,7 +72,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path, before = f"{shared_dir(spark)}/melisma/{name}-{uuid.uuid4().hex}", spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", str(16 << 20)).parquet(path)
     finally:
         spark.conf.set(key, before)
     _made.append((spark, path))
@@ -154,7 +154,7 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str):
 class Out:
     """Gathers output rows into Arrow batches of bounded size."""
 
-    def __init__(self, schema: pa.Schema, rows: int = 4000, size: int = 8 << 20):
+    def __init__(self, schema: pa.Schema, rows: int = 4000, size: int = 2 << 20):
         self.schema, self.rows, self.size = schema, rows, size
         self.clear()
 

@@ -33,7 +33,7 @@ from melisma.llm.common import U64, Out, buckets_for, cut, from_planes, mix, pla
 
 T = 50
 #: Bytes of text whose records are sorted together before they are sent, and of a block of positions.
-CHUNK, BLOCK = 6 << 20, 1 << 19
+CHUNK, BLOCK, PIECE = 4 << 20, 1 << 18, 1 << 15
 _BASE = U64(0x9E3779B97F4A7C55)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 _SENT = "bucket long, keys binary, second binary, docs binary, lo binary, n binary"
@@ -89,7 +89,8 @@ def _runs(data: np.ndarray, valid: np.ndarray, t: int) -> tuple[np.ndarray, ...]
     span = roll.of(lo, lo + n - 1 + t)
     with np.errstate(over="ignore"):
         span = mix(span + ((where - lo).astype(U64) << U64(32)) + n.astype(U64))
-    return a[where], (span >> U64(32)).astype(np.uint32), lo, n
+    # a least hash is small: mixed again, anchors spread evenly over the key ranges
+    return mix(~a[where]), (span >> U64(32)).astype(np.uint32), lo, n
 
 
 def runs_of(items: list[tuple[int, bytes]], t: int) -> tuple[np.ndarray, ...]:
@@ -155,8 +156,9 @@ def _send(out: Out, n_buckets: int, keys, second, docs, lo, n):
 
 def _decided(out: Out, serial: int, docs, lo, n):
     """Records that are known to repeat a smaller document of the same chunk pass through."""
-    if len(docs):
-        out.add(-1 - serial, b"", b"", planes(docs), planes(lo.astype(np.uint32)), planes(n.astype(np.uint32)))
+    for i in range(0, len(docs), PIECE):
+        s = slice(i, i + PIECE)
+        out.add(-1 - serial, b"", b"", planes(docs[s]), planes(lo[s].astype(np.uint32)), planes(n[s].astype(np.uint32)))
         if out.full():
             yield out.take()
 
