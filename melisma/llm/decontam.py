@@ -6,8 +6,8 @@ decomposition (A^T A times a random test matrix; singular values and vectors fol
 summed over all passages of all documents, as blocks of slots, so only matrices of fixed size come to the driver.
 
 Sliding windows over the remaining words of every document are projected to the latent space by block sums, scaled by the
-singular values, and compared with windows of the benchmark items (the stated query set) in blocks; places of cosine
-``COSINE`` or more are candidates. A candidate is a leak if the longest common subsequence of the item and the text around
+singular values, and compared with windows of the benchmark items (the stated query set) in blocks; places of the least
+cosine of ``WINDOWS`` or more are candidates. A candidate is a leak if the longest common subsequence of the item and the text around
 the place covers ``LCS`` of the item's words, or ``LCS_ANSWER`` of them and most of its answer (the words of its last
 sentence).
 
@@ -27,23 +27,28 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from melisma.llm.common import LOWER, Out, blobs, rows_of, table, texts, written
+from melisma.llm.common import Out, blobs, rows_of, size_of, table, texts, written
 
-BITS, RANK, EXTRA, PASSAGE = 15, 64, 8, 24
+BITS, RANK, EXTRA, PASSAGE = 15, 40, 8, 32
 SLOTS, SEED = 1 << BITS, 11
 #: Least inverse document frequency of a slot that counts; passages by which frequencies are counted.
-LEAST_IDF, FREQUENCY_PASSAGE = 2.3, 64
-#: Lengths of sliding windows, each moved by a quarter; an item uses the longest that it fills.
-WINDOWS = (16, 8)
-COSINE, LCS, LCS_ANSWER, ANSWER = 0.75, 0.7, 0.5, 0.7
-BLOCK_WORDS, BLOCK_ITEMS, SLOT_BLOCK = 1 << 16, 256, 2048
+LEAST_IDF, FREQUENCY_PASSAGE = 4.6, 64
+#: Sliding windows move by ``STRIDE`` words; their lengths with the least cosines (a misplaced short one has less in
+#: common); an item uses the longest that it fills.
+STRIDE, WINDOWS = 4, {16: 0.82, 8: 0.7}
+LCS, LCS_ANSWER, ANSWER = 0.7, 0.5, 0.7
+BLOCK_WORDS, BLOCK_ITEMS, SLOT_BLOCK = 1 << 17, 256, 2048
+#: Bytes of hashed words for each partial sum of the matrix product, so that small partitions do not multiply them.
+PART = 16 << 20
 #: Items beyond this number are searched in further passes, so the broadcast query block stays bounded.
 ITEMS_AT_ONCE = 20_000
 
+_PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
 
 def hashed(text: str) -> np.ndarray:
-    """32-bit hashes of the words (A-Z lower-cased)."""
-    w = text.encode("utf-8", "replace").translate(LOWER).split()
+    """32-bit hashes of the words in lower case, ASCII signs as spaces."""
+    w = text.lower().encode("utf-8", "replace").translate(_PLAIN).split()
     return np.fromiter(map(xxhash.xxh32_intdigest, w), np.uint32, len(w))
 
 
@@ -145,13 +150,14 @@ class Space:
 
 
 def decompose(tokens: DataFrame) -> Space:
+    spark = tokens.sparkSession
+    tokens = tokens.coalesce(max(spark.sparkContext.defaultParallelism, size_of(tokens) // PART))
     freq = dict(tokens.mapInArrow(_frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect())  # SLOTS + 1 rows at most
     n = freq.pop(-1, 0)
     df = np.zeros(SLOTS)
     df[np.array(list(freq), np.int64)] = list(freq.values())
     idf = np.log((1.0 + n) / (1.0 + df)).astype(np.float32)
-    if n > 100:  # in a few passages every word is frequent
-        idf[idf < LEAST_IDF] = 0
+    idf[idf < min(LEAST_IDF, np.log(1.0 + n) / 2)] = 0  # among few passages a rare word is in a larger share of them
     test = np.random.default_rng(SEED).standard_normal((SLOTS, RANK + EXTRA), np.float32)
     y = np.zeros(test.shape)
     for i, part in _sum_blocks(tokens.mapInArrow(_range(idf, test), "block long, part binary")).items():
@@ -181,7 +187,9 @@ class Items:
             if not size:
                 self.short += [k] * bool(len(w))
                 continue
-            for at in (0, len(where) - size) if len(where) >= 2 * size else ((len(where) - size) // 2,):
+            # two places half a stride apart: one of them is a word away from a window of a copy at most
+            first = 0 if len(where) >= 2 * size else (len(where) - size) // 2
+            for at in {first, min(first + STRIDE // 2, len(where) - size), *((len(where) - size, len(where) - size - STRIDE // 2) if first == 0 and len(where) >= 2 * size else ())}:
                 found[size].append((k, int(where[at]), space.projection[slots_of(w[where[at : at + size]])].sum(axis=0)))
         for size, q in found.items():
             if q:
@@ -231,18 +239,18 @@ def search(w: np.ndarray, items: Items, space: Space) -> Iterator[tuple[int, int
     where = np.nonzero(space.idf[slots_of(w)] > 0)[0]
     for p in range(0, len(where), BLOCK_WORDS) if items.queries else ():
         places = where[p : p + BLOCK_WORDS + 2 * max(WINDOWS)]
-        vectors = space.projection[slots_of(w[places])]
+        starts = np.arange(0, len(places), STRIDE)
+        parts = np.add.reduceat(space.projection[slots_of(w[places])], starts, axis=0)
+        sums = np.zeros((len(parts) + 1, parts.shape[1]), np.float32)
+        np.cumsum(parts, axis=0, out=sums[1:])
         for size, (number, offset, z) in items.queries.items():
-            starts = np.arange(0, len(places), size // 4)
-            parts = np.add.reduceat(vectors, starts, axis=0)
-            sums = np.zeros((len(parts) + 1, parts.shape[1]), np.float32)
-            np.cumsum(parts, axis=0, out=sums[1:])
-            m = max(1, len(parts) - 3)
-            x = sums[np.minimum(np.arange(m) + 4, len(parts))] - sums[:m]
-            x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-6
+            k = size // STRIDE
+            m = max(1, len(parts) - k + 1)
+            x = sums[np.minimum(np.arange(m) + k, len(parts))] - sums[:m]
+            x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] + 1e-6
             for i in range(0, len(number), BLOCK_ITEMS):
                 cos = x @ z[i : i + BLOCK_ITEMS].T
-                row, col = np.nonzero(cos >= COSINE)
+                row, col = np.nonzero(cos >= WINDOWS[size])
                 if not len(row):
                     continue
                 c = cos[row, col]
@@ -256,7 +264,7 @@ def search(w: np.ndarray, items: Items, space: Space) -> Iterator[tuple[int, int
                         best[k] = (share, float(c[j]), at)
     for k in items.short:
         item = items.words[k]
-        for at in np.nonzero(w[: len(w) - len(item) + 1] == item[0])[0].tolist():
+        for at in np.nonzero(w[: max(0, len(w) - len(item) + 1)] == item[0])[0].tolist():
             if (w[at : at + len(item)] == item).all():
                 best[k] = (1.0, 1.0, at)
                 break
