@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Accents by rank in the two systems, servants, markers and points, as code points.
 PROSE_RANKS = {1: "׃֑", 2: "֖֒֓֔֕", 3: "֛֚֮֗֘֙", 4: "֜֞֟֠֡"}
@@ -33,19 +34,19 @@ ACCENTS = "".join(dict.fromkeys("".join(PROSE_RANKS.values()) + SERVANTS + POETI
 SPACE = "[\\s\u0085   -     　\u001c-\u001f]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(x: pd.Series) -> pd.Series:
     """Canonical composition."""
     return x.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(x: pd.Series) -> pd.Series:
     """Character references resolved as in HTML 5."""
     return x.map(lambda t: None if t is None else html.unescape(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def two_places(x: pd.Series) -> pd.Series:
     """Two decimal places, rounded by the exact binary value as C and Python do (Java rounds the decimal form)."""
     return x.map(lambda v: None if v is None or v != v else f"{v:.2f}")

@@ -13,6 +13,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from melisma.functions import text as T
 
@@ -48,7 +49,7 @@ def similarity(a: str, b: str) -> float:
     return max(0.0, 1.0 - weighted_distance(a, b) / max(len(a), len(b)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     known: dict = {}
     return pd.Series([known.setdefault((x, y), weighted_distance(x, y)) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
