@@ -10,6 +10,7 @@ from __future__ import annotations
 import bisect
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,60 +63,107 @@ def word_similarity(a: Column, b: Column) -> Column:
     return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).when(a == b, 1.0).when(F.abs(F.length(a) - F.length(b)) > 3, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - d / F.greatest(F.length(a), F.length(b))))
 
 
+def _letters(words: list[str]) -> np.ndarray:
+    """A bit for each letter of a word that an edit does not change cheaply."""
+    return np.array([sum(1 << (ord(c) & 63) for c in set(w) - CHEAP) for w in words], np.uint64)
+
+
+def weighted_distances(a: list[str], b: list[str], block: int = 8192) -> np.ndarray:
+    """The distances of many pairs at once, a block of them in each step of the table."""
+    out = np.zeros(len(a))
+
+    def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = np.array([len(w) for w in words])
+        c = np.zeros((len(words), max(1, size.max())), np.uint32)
+        for row, w in zip(c, words, strict=True):
+            row[: len(w)] = np.frombuffer(w.encode("utf-32-le"), np.uint32)
+        return c, np.where(np.isin(c, [ord(x) for x in CHEAP]), CHEAP_COST, 1.0), size
+
+    for k in range(0, len(a), block):
+        (x, x_cost, x_size), (y, y_cost, y_size) = codes(a[k : k + block]), codes(b[k : k + block])
+        every = np.arange(len(x))
+        row = np.concatenate([np.zeros((len(y), 1)), np.cumsum(y_cost, axis=1)], axis=1)
+        got = np.where(x_size == 0, row[every, y_size], 0.0)
+        for i in range(x.shape[1]):
+            new = np.empty_like(row)
+            new[:, 0] = row[:, 0] + x_cost[:, i]
+            step = np.minimum(row[:, :-1] + (x[:, i : i + 1] != y), row[:, 1:] + x_cost[:, i : i + 1])
+            for j in range(y.shape[1]):
+                new[:, j + 1] = np.minimum(step[:, j], new[:, j] + y_cost[:, j])
+            row = new
+            done = x_size == i + 1
+            got[done] = row[done, y_size[done]]
+        out[k : k + block] = got
+    return out
+
+
+def close_pairs(heard: list[str], known: list[str]) -> np.ndarray:
+    """Similarities of distinct words, where they reach the floor (0 elsewhere).
+
+    Every distinct letter that the other word lacks takes an edit of its own, so most pairs are ruled out by their
+    letters; the rest are computed."""
+    size = np.maximum.outer(np.array([len(w) for w in heard]), np.array([len(w) for w in known]))
+    gap = np.abs(np.subtract.outer(np.array([len(w) for w in heard]), np.array([len(w) for w in known])))
+    a, b = _letters(heard)[:, None], _letters(known)[None, :]
+    least = np.maximum(np.bitwise_count(a & ~b), np.bitwise_count(b & ~a))
+    out = np.zeros(size.shape)
+    i, j = np.nonzero((gap <= 3) & (size > 0) & (size - least >= FLOOR * size))
+    if len(i):
+        s = np.maximum(0.0, 1.0 - weighted_distances([heard[k] for k in i], [known[k] for k in j]) / size[i, j])
+        out[i, j] = np.where(s >= FLOOR, s, 0.0)
+    return out
+
+
 def align_words(heard: list[str], known: list[str], band: int = BAND) -> list[tuple[int | None, int | None, float]]:
     """Pairs of positions with similarities along the best monotone alignment within a band around the diagonal.
 
     A step that pairs goes first among equals, then one that skips a heard word, then one that skips a known word. Known
-    words that the band leaves out at the end follow as unmatched."""
+    words that the band leaves out at the end follow as unmatched. A row's first two kinds of steps are computed at once;
+    skipped known words follow along the row."""
     n, m = len(heard), len(known)
     if not n or not m:
         return [(i, None, 0.0) for i in range(n)] + [(None, j, 0.0) for j in range(m)]
-    cache: dict[tuple[str, str], float] = {}
-
-    def sim(i: int, j: int) -> float:
-        key = heard[i], known[j]
-        if key not in cache:
-            cache[key] = similarity(*key)
-        return cache[key]
+    h_words, k_words = list(dict.fromkeys(heard)), list(dict.fromkeys(known))
+    h_at, k_at = {w: i for i, w in enumerate(h_words)}, {w: i for i, w in enumerate(k_words)}
+    column = np.array([k_at[w] for w in known])
+    table = close_pairs(h_words, k_words)
+    score = np.where(table > 0, table, MISMATCH)
 
     def bounds(i: int) -> tuple[int, int]:
         middle = round(i * (m / n))
         return max(0, middle - band), min(m, middle + band)
 
     low, high = bounds(0)
-    above, start_above = [j * GAP for j in range(low, high + 1)], low
-    steps: list[tuple[int, str]] = [(low, "." + "l" * (high - low) if low == 0 else "l" * (high - low + 1))]
+    above, start = np.arange(low, high + 1) * GAP, low
+    steps: list[tuple[int, np.ndarray]] = [(low, np.where(np.arange(low, high + 1) == 0, 0, 3))]
     for i in range(1, n + 1):
         low, high = bounds(i)
-        row: list[float] = []
-        taken = []
-        for j in range(low, high + 1):
-            at = j - start_above
-            pair = up = left = -math.inf
-            if j > 0 and 0 <= at - 1 < len(above):
-                s = sim(i - 1, j - 1)
-                pair = above[at - 1] + (s if s >= FLOOR else MISMATCH)
-            if 0 <= at < len(above):
-                up = above[at] + GAP
-            if j > low:
-                left = row[-1] + GAP
-            best = max(pair, up, left)
-            if best == -math.inf:  # the bands of two rows do not meet
-                best, step = (i + j) * GAP, "u"
-            else:
-                step = "d" if pair == best else "u" if up == best else "l"
-            row.append(best)
-            taken.append(step)
-        steps.append((low, "".join(taken)))
-        above, start_above = row, low
+        j = np.arange(low, high + 1)
+        pair, up = np.full(len(j), -np.inf), np.full(len(j), -np.inf)
+        ok = (j - 1 >= start) & (j - 1 < start + len(above))
+        pair[ok] = above[j[ok] - 1 - start] + score[h_at[heard[i - 1]], column[j[ok] - 1]]
+        ok = (j >= start) & (j < start + len(above))
+        up[ok] = above[j[ok] - start] + GAP
+        entry = np.maximum(pair, up)
+        if entry[0] == -np.inf:  # the bands of two rows do not meet
+            entry[0] = up[0] = (i + low) * GAP
+        row, last = entry.tolist(), -math.inf
+        for c, x in enumerate(row):
+            if last + GAP > x:
+                row[c] = last + GAP
+            last = row[c]
+        row = np.array(row)
+        steps.append((low, np.where(row > entry, 3, np.where(pair >= up, 1, 2)).astype(np.int8)))
+        above, start = row, low
     i, j, pairs = n, high, []
     while i or j:
         first, row_steps = steps[i]
-        step = row_steps[j - first] if 0 <= j - first < len(row_steps) else "."
-        if step == "d":
-            pairs.append((i - 1, j - 1, sim(i - 1, j - 1)))
+        step = int(row_steps[j - first]) if 0 <= j - first < len(row_steps) else 0
+        if step == 1:
+            s = table[h_at[heard[i - 1]], column[j - 1]]
+            pairs.append((i - 1, j - 1, float(s) if s > 0 else similarity(heard[i - 1], known[j - 1])))
             i, j = i - 1, j - 1
-        elif step == "u" or (step == "." and i):
+        elif step == 2 or (step == 0 and i):
             pairs.append((i - 1, None, 0.0))
             i -= 1
         else:
@@ -247,7 +295,7 @@ def prepare(heard: DataFrame, known: DataFrame, key: str = "rec_id") -> tuple[Da
 def find_anchors(heard: DataFrame, known: DataFrame, key: str = "rec_id") -> dict[str, DataFrame]:
     """pairs, anchors, coverage and matches (pairs of similarity FLOOR or more with their times)."""
     h, k, times = prepare(heard, known, key)
-    pairs = align_sequences(h, k, key)
+    pairs = align_sequences(h, k, key).persist()  # four results build on it
     matched = pairs.where(F.col("asr_i").isNotNull() & F.col("ref_j").isNotNull() & (F.col("sim") >= FLOOR))
     matches = matched.join(times.withColumnRenamed("ix", "asr_i"), [key, "asr_i"]).select(key, F.col("ref_j").alias("ref"), F.col("start").alias("asr_start"), F.col("end").alias("asr_end"), "sim")
     return {"pairs": pairs, "anchors": select_anchors(pairs, k, times, key), "coverage": coverage(pairs, k, key), "matches": matches}

@@ -22,9 +22,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a text table for each core below which it is dealt out anew: a small file of one row group is one task.
+SMALL = 16 << 20
+
+
+def read_texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are long work for a row; a small one is spread over the cores first, a large one is so already."""
+    df = read(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL else df
+
+
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, s (from 1), raw: sentences in lower case."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.lower("text"), r"\.")).alias("s", "raw")).select("doc_id", (F.col("s") + 1).alias("s"), "raw")
+    return read_texts(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.lower("text"), r"\.")).alias("s", "raw")).select("doc_id", (F.col("s") + 1).alias("s"), "raw")
 
 
 def hebrew(raw: Column) -> Column:

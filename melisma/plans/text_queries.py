@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from melisma.functions import text as T
 from melisma.operators import quality, requests, segment
 from melisma.plans.registry import query
-from melisma.plans.standins import read, sentences, verses, with_, words
+from melisma.plans.standins import read, read_texts, sentences, verses, with_, words
 
 KEY = ("doc_id", "s", "i")
 _L = T.LETTERS
@@ -33,7 +33,7 @@ _TAGS = r"""trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(re
 
 @query("clean_text", f"SELECT page_id, {_TAGS} AS clean FROM pages")
 def clean_text(spark, d):
-    return read(spark, d, "pages").select("page_id", T.clean_text(F.col("html")).alias("clean"))
+    return read_texts(spark, d, "pages").select("page_id", T.clean_text(F.col("html")).alias("clean"))
 
 
 @query("tokenize", with_("word", "SELECT doc_id, s, i, word FROM word"))

@@ -35,6 +35,8 @@ def test_distance_and_alignment_against_full_tables():
     for _ in range(200):
         a, b = ("".join(r.choices("אבוי", k=r.randrange(7))) for _ in range(2))
         assert math.isclose(align.weighted_distance(a, b), brute_distance(a, b))
+    a, b = (["".join(r.choices("אבגוי", k=r.randrange(8))) for _ in range(500)] for _ in range(2))
+    assert align.weighted_distances(a, b, 64).tolist() == [align.weighted_distance(x, y) for x, y in zip(a, b)]
     for _ in range(60):
         x, y = (["".join(r.choices("אבג", k=r.randrange(1, 4))) for _ in range(r.randrange(8))] for _ in range(2))
         pairs = align.align_words(x, y)
