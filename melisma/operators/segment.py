@@ -41,16 +41,44 @@ def cut_ranges(ranks: list[int | None], most: int) -> list[tuple[int, int]]:
     return out
 
 
-def split_unit(ranks: Column, most: int = 4) -> Column:
-    """array<struct<lo,hi>> for the words' ranks of a verse."""
+def join_silent(ranges: list[tuple[int, int]], speaks: list[bool]) -> list[tuple[int, int]]:
+    """Neighbouring ranges of a verse joined so that each has a spoken word: a silent one joins the one before it, leading
+    ones the next; none are left if nothing is spoken."""
+    out: list[tuple[int, int]] = []
+    start = ranges[0][0] if ranges else 0
+    for lo, hi in ranges:
+        if any(speaks[lo : hi + 1]):
+            out.append((lo if out else start, hi))
+        elif out:
+            out[-1] = (out[-1][0], hi)
+    return out
+
+
+def split_unit(ranks: Column, most: int = 4, speaks: Column | None = None) -> Column:
+    """array<struct<lo,hi>> for the words' ranks of a verse; with ``speaks``, silent ranges are joined to their neighbours."""
     if most < 1:
         raise ValueError("most must be 1 at least")
 
-    @F.pandas_udf("array<struct<lo:int,hi:int>>")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda r: [] if r is None else [{"lo": a, "hi": b} for a, b in cut_ranges([None if v is None or v != v else int(v) for v in r.tolist()], most)])
+    def cut(r) -> list[tuple[int, int]]:
+        return cut_ranges([None if v is None or v != v else int(v) for v in r.tolist()], most)
+
+    def cells(ranges: list[tuple[int, int]]) -> list[dict]:
+        return [{"lo": a, "hi": b} for a, b in ranges]
+
+    kind = "array<struct<lo:int,hi:int>>"
+    if speaks is None:
+
+        @F.pandas_udf(kind)
+        def run(x: pd.Series) -> pd.Series:
+            return x.map(lambda r: [] if r is None else cells(cut(r)))
 
-    return run(ranks)
+        return run(ranks)
+
+    @F.pandas_udf(kind)
+    def run_joined(x: pd.Series, s: pd.Series) -> pd.Series:
+        return pd.Series([[] if r is None else cells(join_silent(cut(r), k.tolist())) for r, k in zip(x, s, strict=True)], dtype=object)
+
+    return run_joined(ranks, speaks)
 
 
 def word_ranks(words: Column, poetic: Column) -> Column:
@@ -74,26 +102,33 @@ def _spoken(words: Column, pointed: bool) -> Column:
     return F.flatten(F.transform(words, lambda w: T.spoken_words(w, pointed)))
 
 
-def cut_verses(verses: DataFrame, most: int = 4, text: str = "text", clean: bool = True) -> DataFrame:
-    """The verse rows with words, ranks and ranges: clean, tokenise, choose the accent system of the verse, cut."""
-    cleaned = verses.withColumn("_clean", T.clean_text(F.col(text)) if clean else F.col(text))
-    worded = cleaned.withColumn("words", T.tokens(F.col("_clean"))).withColumn("_poetic", T.is_poetic(F.array_join("words", " ")))
-    ranked = worded.withColumn("ranks", word_ranks(F.col("words"), F.col("_poetic")))
-    return ranked.withColumn("ranges", split_unit(F.col("ranks"), most)).drop("_clean", "_poetic")
+def cut_verses(verses: DataFrame, most: int = 4, text: str = "text", join: bool = False) -> DataFrame:
+    """The verse rows with words and ranges: clean, tokenise, choose the accent system of the verse, cut; with ``join``,
+    ranges without spoken words join their neighbours. A narrow operation: no row leaves its partition."""
+    worded = verses.withColumn("words", T.tokens(T.clean_text(F.col(text))))
+    ranks = word_ranks(F.col("words"), T.is_poetic(F.array_join("words", " ")))
+    speaks = F.transform("words", lambda w: F.exists(F.split(w, T.MAQAF), lambda p: p.rlike(T.LETTERS) & p.rlike(T.POINTS)))
+    return worded.withColumn("ranges", split_unit(ranks, most, speaks if join else None))
+
 
+def _exploded(verses: DataFrame, keys: list[str], most: int, text: str, join: bool) -> DataFrame:
+    cut = cut_verses(verses.select(*keys, text), most, text, join)
+    # the outer form keeps the optimiser from inferring a filter that would run the functions of the ranges twice
+    rows = cut.select(*keys, "words", F.posexplode_outer("ranges").alias("seg_ix", "r")).where("seg_ix IS NOT NULL")
+    return rows.select(*keys, "seg_ix", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"), F.slice("words", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo") + 1).alias("words"))
 
-def verse_segments(verses: DataFrame, keys: list[str], most: int = 4, text: str = "text", clean: bool = True) -> DataFrame:
+
+def verse_segments(verses: DataFrame, keys: list[str], most: int = 4, text: str = "text") -> DataFrame:
     """keys, seg_ix, lo, hi, words of all segments of all verses."""
-    cut = cut_verses(verses.select(*keys, text), most, text, clean)
-    return cut.select(*keys, "words", F.posexplode("ranges").alias("seg_ix", "r")).select(*keys, "seg_ix", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"), F.slice("words", F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo") + 1).alias("words"))
+    return _exploded(verses, keys, most, text, False)
+
 
+def segments_for_pipeline(verses: DataFrame, keys: list[str], most: int = 4, text: str = "text") -> DataFrame:
+    """keys, seg_ix, display, align_vocalized, align_plain; segments without spoken words merged within the verse.
 
-def segments_for_pipeline(verses: DataFrame, keys: list[str], most: int = 4, text: str = "text", clean: bool = True) -> DataFrame:
-    """keys, seg_ix, display, align_vocalized, align_plain; segments without spoken words merged within the verse."""
-    s = verse_segments(verses, keys, most, text, clean)
+    Segments of a verse are neighbouring ranges of its words, so merging them is joining ranges, before any row is made."""
     display, pointed, plain = build_segment(F.col("words"))
-    built = s.select(*keys, "seg_ix", display.alias("display"), pointed.alias("align_vocalized"), plain.alias("align_plain"))
-    return merge_unalignable(built, keys)
+    return _exploded(verses, keys, most, text, True).select(*keys, "seg_ix", display.alias("display"), pointed.alias("align_vocalized"), plain.alias("align_plain"))
 
 
 def merge_unalignable(segments: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:

@@ -50,7 +50,8 @@ def verses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, s, i (from 0), word."""
-    return verses(spark, sf_dir).select("doc_id", "s", F.posexplode(T.tokens(T.clean_text(F.col("text")))).alias("i", "word"))
+    w = verses(spark, sf_dir).select("doc_id", "s", F.posexplode_outer(T.tokens(T.clean_text(F.col("text")))).alias("i", "word"))
+    return w.where("i IS NOT NULL")  # not posexplode: the filter inferred for it would clean every text twice
 
 
 def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:

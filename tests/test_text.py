@@ -99,6 +99,13 @@ def test_cuts_against_a_scan():
         assert segment.cut_ranges(ranks, most) == scan(ranks, 0, len(ranks) - 1, most)
 
 
+def test_joining_silent_ranges():
+    r = [(0, 0), (1, 1), (2, 2), (3, 3)]
+    assert segment.join_silent(r, [False, True, False, True]) == [(0, 1 + 1), (3, 3)]
+    assert segment.join_silent(r, [False] * 4) == [] and segment.join_silent([], []) == [] and segment.join_silent(r, [True] * 4) == r
+    assert segment.join_silent(r, [False, False, True, False]) == [(0, 3)]
+
+
 def verse_segments(spark, text, most=4):
     v = spark.createDataFrame([(1, text)], "v int, text string")
     return [r.asDict() for r in segment.segments_for_pipeline(v, ["v"], most).orderBy("seg_ix").collect()]
