@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality_rules": quality.op9,
     "op10_suffix_dedup": suffix.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_url_filters": urls.ORACLE, "op9_quality_rules": quality.ORACLE}

@@ -112,3 +112,35 @@ def judge(pages: DataFrame, rules=RULES, depth: int = DEPTH) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
+
+
+def _oracle(rules=RULES, depth: int = DEPTH) -> str:
+    """op8 in DuckDB's SQL, a pair of tables for each level of the tree."""
+    lower = "translate({0}, '%s', '%s')" % _LOWER
+    whole = "regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    order = sorted(rules, key=lambda r: -len(r[1] + r[2]))
+    fits = [(f"(host = '{dom}' OR ends_with(host, '.{dom}')) AND starts_with(path, '{start}')", what, dom + start) for what, dom, start in order]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{t}'" for f, _, t in fits) + " END"
+    ruled = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, v, _ in fits) + " END"
+    name, ext = (f"regexp_extract({{0}}, '(?s)^(.*?)(\\.[A-Za-z]{{{{1,5}}}})?$', {g})" for g in (1, 2))
+    form = f"CASE WHEN {{0}} IS NULL THEN NULL WHEN regexp_matches({name}, '^[0-9]+$') THEN '{{{{number}}}}' WHEN regexp_matches({name}, '^[0-9]{{{{4}}}}-[0-9]{{{{2}}}}(-[0-9]{{{{2}}}})?$') THEN '{{{{date}}}}' WHEN regexp_matches({name}, '^[0-9a-fA-F-]{{{{16,}}}}$') THEN '{{{{hash}}}}' WHEN length({name}) >= 24 OR (regexp_matches({name}, '[0-9]') AND length({name}) >= 12) THEN '{{{{slug}}}}' ELSE {name} END || {ext}"
+    s = [f"s{i + 1}" for i in range(depth)]
+    tables = {
+        "u": f"SELECT page_id, coalesce({lower.format(chr(34) + 'h' + chr(34))}, '') AS host, coalesce(p, '') AS path FROM (SELECT page_id, regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) AS h, {whole} AS p FROM pages WHERE page_id IS NOT NULL)",
+        "r": f"SELECT *, {rule} AS rule, {ruled} AS ruled, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM u",
+        "p": "SELECT page_id, host, path, rule, ruled, " + ", ".join(f"{form.format(f'parts[{i + 1}]')} AS {c}" for i, c in enumerate(s)) + " FROM r",
+        "t0": f"SELECT host, {', '.join(s)}, count(*) AS n, count_if(ruled IS NOT DISTINCT FROM 'block') AS bad, count_if(ruled IS NOT DISTINCT FROM 'allow') AS good, '' AS template FROM p GROUP BY ALL",
+    }
+    for i, c in enumerate(s, 1):
+        below = f"s{i + 1}" if i < depth else "NULL"
+        tables[f"l{i}"] = f"SELECT host, template, {c} AS s, sum(n) AS n, sum(bad) AS bad, sum(good) AS good, array_to_string(list_sort(list_distinct(list(CASE WHEN {below} IS NULL THEN 'leaf' WHEN starts_with({below}, '{{') THEN 'variable' ELSE 'named' END))), '+') AS shape FROM t{i - 1} GROUP BY host, template, {c}"
+        tables[f"q{i}"] = f"SELECT *, (bad + 0.5) / (bad + good + 1.0) AS rate, (of_bad + 0.5) / (of_bad + of_good + 1.0) AS of_rate FROM (SELECT *, sum(n) OVER w AS of_, sum(bad) OVER w AS of_bad, sum(good) OVER w AS of_good, count(*) OVER w AS siblings FROM l{i} WINDOW w AS (PARTITION BY host, template))"
+        tables[f"o{i}"] = f"SELECT host, template, s, CASE WHEN s IS NULL THEN '' WHEN starts_with(s, '{{') OR (NOT (siblings > {FEW} AND n < {MIN_SHARE} * of_) AND NOT alike) THEN s WHEN alike THEN '*' || shape || CASE WHEN bad + good > 0 THEN '' ELSE '?' END ELSE '*' END AS own FROM (SELECT *, abs(rate - of_rate) <= 2.0 * sqrt(of_rate * (1 - of_rate) / (bad + good + 1.0)) AS alike FROM q{i})"
+        tables[f"t{i}"] = f"SELECT a.host, {', '.join('a.' + x for x in s)}, a.n, a.bad, a.good, CASE WHEN own = '' THEN a.template ELSE a.template || '/' || own END AS template FROM t{i - 1} a JOIN o{i} b ON a.host = b.host AND a.template = b.template AND a.{c} IS NOT DISTINCT FROM b.s"
+    last = f"t{depth}"
+    tables["v"] = f"SELECT host, template, CASE WHEN (sum(bad) + {SMOOTH * PRIOR}) / (sum(bad) + sum(good) + {SMOOTH}) > {REJECT} THEN 'block' ELSE 'allow' END AS judged FROM {last} GROUP BY host, template"
+    on = " AND ".join(f"p.{x} IS NOT DISTINCT FROM {last}.{x}" for x in ("host", *s))
+    return f"WITH {', '.join(f'{k} AS ({v})' for k, v in tables.items())} SELECT p.page_id, p.host, p.path, p.rule, coalesce(p.ruled, v.judged) AS verdict, v.template FROM p JOIN {last} ON {on} JOIN v ON v.host = {last}.host AND v.template = {last}.template"
+
+
+ORACLE = _oracle()
