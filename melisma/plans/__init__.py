@@ -1 +1 @@
-"""Plans."""
+"""Queries over the driver's tables and the stand-ins they read."""

@@ -1 +1 @@
-"""Sources."""
+"""Readers and writers of recordings, subtitles, reports and ground truth."""

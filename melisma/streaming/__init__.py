@@ -1 +1 @@
-"""Streaming."""
+"""No operator here keeps state over a stream: the narrow ones (cleaning, tokens, cuts, scores) run on streaming tables as they are."""
