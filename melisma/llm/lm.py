@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from melisma.llm.common import U64, Out, buckets_for, cut, from_planes, id_crc, mix, planes, rows_of, table, texts, words, written
+from melisma.llm.common import U64, Out, buckets_for, cut, from_planes, id_crc, mix, planes, rows_of, table, texts, tune, words, written
 
 #: Bytes of text in a chunk (a longer document is a chunk of its own); folds of the split; the fold that tunes weights.
 CHUNK, FOLDS, TEST_FOLD, TUNE_FOLD = 6 << 20, 10, 0, 1
@@ -206,19 +206,21 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, base_score, score, train_tokens."""
     spark = docs.sparkSession
     chunks = written(texts(docs).mapInArrow(_encode, _CHUNK), "chunks")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a chunk is a batch of its own
     n_buckets = buckets_for(docs)
     asked = chunks.mapInArrow(_ask(n_buckets), "bucket long, chunk long, keys binary, counts binary")
-    told = written(asked.groupBy("bucket").applyInArrow(_merge, "chunk long, bucket long, at binary, totals binary"), "totals")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a chunk is a batch of its own
+    try:
+        told = written(asked.groupBy("bucket").applyInArrow(_merge, "chunk long, bucket long, at binary, totals binary"), "totals")
+    finally:
+        tune(spark)
     sums = told.where("chunk = -1 AND bucket % 2 = 0").select("totals").toLocalIterator()
     n = v = 0
     for (raw,) in sums:  # two numbers for each key range
         a, b = from_planes(raw, np.int64)
         n, v = n + int(a), v + int(b)
     told = told.where("chunk >= 0")
-    tune = chunks.where("tune")
-    hist = tune.groupBy("chunk").cogroup(told.where("chunk % 2 = 1").groupBy("chunk")).applyInArrow(_held_out(n, n_buckets), "b long, q2 long, q1 long, n long")
+    held = chunks.where("tune")
+    hist = held.groupBy("chunk").cogroup(told.where("chunk % 2 = 1").groupBy("chunk")).applyInArrow(_held_out(n, n_buckets), "b long, q2 long, q1 long, n long")
     # the bins bound this table, whatever the corpus
     lam = weights([tuple(r) for r in hist.groupBy("b", "q2", "q1").agg(F.sum("n")).collect()], v)
     out = chunks.groupBy("chunk").cogroup(told.groupBy("chunk"))
