@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from melisma.llm.common import Out, mix, rows_of, table, texts, words, written
+from melisma.llm.common import Out, blobs, mix, rows_of, table, texts, words, written
 from melisma.llm.components import components
 
 RADIUS, SEED, SHINGLE, SMALL = 2, 42, 3, 32
@@ -37,6 +37,8 @@ _VECTORS = [1 + (3 * i) % 7 for i in range(64)]
 MASKS = [sum(1 << i for i, u in enumerate(_VECTORS) if (u & v).bit_count() % 2 == 0) for v in range(1, 8)]
 BLOCK = 1 << 16
 BINS, BAND = 128, 4
+#: Bounds of a block of documents that are compared in full, and shingles that are counted at once.
+MEMBERS, BYTES, COLUMNS = 1024, 2 << 20, 4096
 
 
 def shingles(text: str, k: int) -> np.ndarray:
@@ -186,11 +188,75 @@ def _alike(least: float):
     return run
 
 
-def similar(docs: DataFrame, sketched: DataFrame, least: float, shingle: int) -> DataFrame:
-    """Links a, b between documents of similarity ``least`` or more, one document standing for equal texts.
+def _across(least: float):
+    """Links between the few and all documents of a block whose roots differ, one for each pair of roots."""
+
+    def run(group: pa.Table) -> pa.Table:
+        few = group["few"].to_numpy(zero_copy_only=False).astype(np.bool_)
+        ids, roots = group["doc_id"].to_numpy(), group["root"].to_numpy()
+        sets = blobs(group["s"], np.uint64)
+        sides = []
+        for side in (np.nonzero(few)[0], np.nonzero(~few)[0]):
+            size = np.array([len(sets[i]) for i in side], np.int64)
+            value = np.concatenate([sets[i] for i in side] or [np.zeros(0, np.uint64)])
+            by = np.argsort(value, kind="stable")
+            sides.append((side, size, value[by], np.repeat(np.arange(len(side)), size)[by]))
+        (x, nx, vx, rx), (y, ny, vy, ry) = sides
+        shared = np.intersect1d(vx, vy)
+        common = np.zeros((len(x), len(y)), np.float32)
+        for i in range(0, len(shared), COLUMNS):
+            part = shared[i : i + COLUMNS]
+            held = []
+            for v, r, n in ((vx, rx, len(x)), (vy, ry, len(y))):
+                lo, hi = np.searchsorted(v, part[0]), np.searchsorted(v, part[-1], side="right")
+                at = np.searchsorted(part, v[lo:hi])
+                ok = part[at] == v[lo:hi]
+                m = np.zeros((n, len(part)), np.float32)
+                m[r[lo:hi][ok], at[ok]] = 1
+                held.append(m)
+            common += held[0] @ held[1].T
+        hit = (common >= least * ((nx[:, None] + ny[None, :]) - common.astype(np.float64))) & (roots[x][:, None] != roots[y][None, :])
+        i, j = np.nonzero(hit)
+        i, j = x[i], y[j]
+        one = np.unique(np.stack([roots[i], roots[j]], axis=1), axis=0, return_index=True)[1] if len(i) else i
+        return pa.table({"a": np.minimum(ids[i[one]], ids[j[one]]), "b": np.maximum(ids[i[one]], ids[j[one]])})
 
-    In a band's group every document is compared with the first one and with the one before it in two orders, so a group
-    of any size gives three pairs for each of its documents."""
+    return run
+
+
+def _remaining(band: DataFrame, size: DataFrame, sets: DataFrame, parts: DataFrame, least: float) -> DataFrame:
+    """Links a, b between documents of one band group that the links so far leave in different components ``parts``.
+
+    The documents outside a group's most frequent component meet all of the group, in blocks of both that are bounded
+    by documents and by bytes; groups of up to three documents have been compared already."""
+    width = sets.select("doc_id", F.octet_length("s").alias("bytes"))
+    met = band.join(size.where("n > 3").select("i", "h"), ["i", "h"]).join(width, "doc_id")
+    met = met.join(parts.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    met = written(met, "crowds")
+    by_root = met.groupBy("i", "h", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    group = by_root.groupBy("i", "h").agg(F.count("*").alias("roots"), F.max(F.struct("n", "root", "bytes")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("roots > 1")
+
+    def blocks(n, size):
+        return F.greatest(F.lit(1), F.ceil(n / MEMBERS), F.ceil(size / BYTES)).cast("int")
+
+    group = group.select("i", "h", F.col("top.root").alias("top"), blocks(F.col("n"), F.col("bytes")).alias("of_all"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("of_few"))
+    dealt = met.join(group, ["i", "h"])
+
+    def deal(x: DataFrame, few: bool, own: str, other: str) -> DataFrame:
+        mine, others = F.pmod(F.xxhash64("doc_id"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return x.select("i", "h", "doc_id", "root", F.lit(few).alias("few"), mine.alias(own), others.alias(other))
+
+    both = deal(dealt.where("root != top"), True, "of_few", "of_all").unionByName(deal(dealt, False, "of_all", "of_few"))
+    return both.join(sets, "doc_id").groupBy("i", "h", "of_few", "of_all").applyInArrow(_across(least), "a long, b long")
+
+
+def similar(docs: DataFrame, sketched: DataFrame, known: DataFrame, least: float, shingle: int) -> DataFrame:
+    """node, root over the links ``known`` and those between documents of similarity ``least`` or more, one document
+    standing for equal texts.
+
+    In a band's group every document is first compared with the smallest one and with the one before it in two orders.
+    Whatever these links leave apart is then compared in full, so that every two documents of a group are in one
+    component or have been compared."""
     one = sketched.where(F.size("bands") > 0).groupBy("content").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("x.doc_id", "x.bands")
     band = one.select("doc_id", F.posexplode("bands").alias("i", "h"))
     size = band.groupBy("i", "h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
@@ -204,7 +270,9 @@ def similar(docs: DataFrame, sketched: DataFrame, least: float, shingle: int) ->
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = written(texts(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(shingle), "doc_id long, s binary"), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    return both.mapInArrow(_alike(least), "a long, b long")
+    parts = written(components(known.unionByName(both.mapInArrow(_alike(least), "a long, b long"))), "parts")
+    rest = _remaining(band, size, sets, parts, least)
+    return components(parts.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(rest))
 
 
 def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -218,7 +286,7 @@ def groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFr
     same = sketched.where(F.size("bands") > 0).join(nodes, "fp").where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     equal = sketched.where(F.size("bands") > 0).groupBy("content").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
     equal = sketched.join(equal, "content").select("a", F.col("doc_id").alias("b"))
-    parts = components(by_print.unionByName(same).unionByName(equal).unionByName(similar(docs, sketched, similarity, shingle)))
+    parts = similar(docs, sketched, by_print.unionByName(same).unionByName(equal), similarity, shingle)
     return sketched.select("doc_id").distinct().join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"))
 
 

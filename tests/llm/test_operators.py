@@ -271,6 +271,23 @@ def test_groups_by_similarity(make, prose):
     assert got == {0: 0, 1: 0, 2: 2, 3: 0, 4: 4, 5: 5, 6: 6, 7: 6}
 
 
+def test_groups_whose_base_is_amid_its_copies(make, prose, monkeypatch):
+    monkeypatch.setattr(simhash, "MEMBERS", 48)
+    base = prose(200, 1, 50_000).split()
+    r, texts = random.Random(4), []
+    for i in range(120):
+        w, first = list(base), r.randrange(8, 40)
+        for k in range(4):
+            w[first + 40 * k] = "changed%d_%d" % (i, k)
+        texts.append(" ".join(w))
+    texts.insert(60, " ".join(base))
+    texts += [prose(200, 100 + i, 50_000) for i in range(10)]
+    s = [set(simhash.shingles(t, 5).tolist()) for t in texts]
+    assert all(len(s[60] & x) >= 0.8 * len(s[60] | x) for x in s[:121])
+    got = {r["doc_id"]: r["group_id"] for r in rows(simhash.groups(make(texts)))}
+    assert got == {i: 0 if i < 121 else i for i in range(131)}
+
+
 # --- components ------------------------------------------------------------------------
 
 
