@@ -29,13 +29,13 @@ from pyspark.sql import functions as F
 
 from melisma.llm.common import Out, blobs, rows_of, size_of, table, texts, written
 
-BITS, RANK, EXTRA, PASSAGE = 15, 40, 8, 32
+BITS, RANK, EXTRA, PASSAGE = 15, 64, 8, 24
 SLOTS, SEED = 1 << BITS, 11
 #: Least inverse document frequency of a slot that counts; passages by which frequencies are counted.
-LEAST_IDF, FREQUENCY_PASSAGE = 4.6, 64
+LEAST_IDF, FREQUENCY_PASSAGE = 2.3, 64
 #: Sliding windows move by ``STRIDE`` words; their lengths with the least cosines (a misplaced short one has less in
 #: common); an item uses the longest that it fills.
-STRIDE, WINDOWS = 4, {16: 0.82, 8: 0.7}
+STRIDE, WINDOWS = 4, {16: 0.75, 8: 0.7}
 LCS, LCS_ANSWER, ANSWER = 0.7, 0.5, 0.7
 BLOCK_WORDS, BLOCK_ITEMS, SLOT_BLOCK = 1 << 17, 256, 2048
 #: Bytes of hashed words for each partial sum of the matrix product, so that small partitions do not multiply them.

@@ -88,6 +88,20 @@ def test_leaks_are_found_and_clean_documents_left(spark, make, prose):
     assert got == {(k, k) for k in range(12)} | {(20, 11), (21, 10)}
 
 
+def test_leaks_of_common_words_with_changes(spark, make, prose):
+    items = [(k, prose(40, 4000 + k)) for k in range(10)]
+    texts = [prose(300, i) for i in range(400)]
+    r = random.Random(3)
+    for k, t in items:
+        w = t.split()
+        for i in r.sample(range(40), 6):
+            w[i] = "other%d" % i
+        texts[k] = texts[k] + " " + " ".join(w) + " " + texts[k + 20]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in rows(decontam.leaks(make(texts), bench))}
+    assert got == {(k, k) for k in range(10)}
+
+
 @given(st.lists(st.integers(0, 5), max_size=12), st.lists(st.integers(0, 5), max_size=12))
 def test_lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
