@@ -34,7 +34,7 @@ SLOTS, SEED = 1 << BITS, 11
 #: Least inverse document frequency of a slot that counts; passages by which frequencies are counted.
 LEAST_IDF, FREQUENCY_PASSAGE = 2.3, 64
 #: Sliding windows move by ``STRIDE`` words; their lengths with the least cosines (a misplaced short one has less in
-#: common); an item uses the longest that it fills.
+#: common); an item uses the longest that it fills, from end to end.
 STRIDE, WINDOWS = 4, {16: 0.75, 8: 0.7}
 LCS, LCS_ANSWER, ANSWER = 0.7, 0.5, 0.7
 BLOCK_WORDS, BLOCK_ITEMS, SLOT_BLOCK = 1 << 17, 256, 2048
@@ -187,9 +187,10 @@ class Items:
             if not size:
                 self.short += [k] * bool(len(w))
                 continue
-            # two places half a stride apart: one of them is a word away from a window of a copy at most
-            first = 0 if len(where) >= 2 * size else (len(where) - size) // 2
-            for at in {first, min(first + STRIDE // 2, len(where) - size), *((len(where) - size, len(where) - size - STRIDE // 2) if first == 0 and len(where) >= 2 * size else ())}:
+            # from end to end by steps of no whole number of strides, so that one of two neighbours is a word away from a
+            # window of a copy at most; both phases at the ends
+            last = len(where) - size
+            for at in sorted({*range(0, last + 1, 3 * size // 8), min(STRIDE // 2, last), max(0, last - STRIDE // 2), last, last // 2, min(last // 2 + STRIDE // 2, last)}):
                 found[size].append((k, int(where[at]), space.projection[slots_of(w[where[at : at + size]])].sum(axis=0)))
         for size, q in found.items():
             if q:

@@ -102,6 +102,16 @@ def test_leaks_of_common_words_with_changes(spark, make, prose):
     assert got == {(k, k) for k in range(10)}
 
 
+def test_leaks_of_the_middle_of_items(spark, make, prose):
+    items = [(k, prose(100, 4000 + k)) for k in range(8)]
+    texts = [prose(300, i) for i in range(400)]
+    for k, t in items:
+        texts[k] = texts[k] + " " + " ".join(t.split()[13:87]) + " " + texts[k + 20]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in rows(decontam.leaks(make(texts), bench))}
+    assert got == {(k, k) for k in range(8)}
+
+
 @given(st.lists(st.integers(0, 5), max_size=12), st.lists(st.integers(0, 5), max_size=12))
 def test_lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
