@@ -14,9 +14,8 @@ from melisma.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    rejected = quality.judge(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.where(F.col("doc_id").isNotNull()).join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that the quality rules keep, without their host's frequent lines; n_chars follows the text."""
+    return quality.cleaned(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Lines are normalised (words, A-Z lower-cased, single spaces) and hashed. For every host the documents with different
 texts that hold a line are counted, so that exact copies count once; a line is over the limit if more than
-``max(floor, share * documents of the host)`` hold it. Such a line is removed everywhere but in the document with the
-smallest id, and a document that keeps less than ``keep`` of its words is depleted and rejected.
+``max(floor, share * documents of the host)`` hold it. ``cleaned`` removes such a line everywhere but in the document with
+the smallest id; ``judge`` counts the words that this takes, and a document that keeps less than ``keep`` of its words is depleted and rejected.
 
 Counting is done in two aggregations with partial sums (per text, then per line), so a hot host or line never meets in
 one task.
@@ -87,8 +87,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out.take()
 
 
-def judge(docs: DataFrame, host: str = "source", floor: int = FLOOR, share: float = SHARE, keep: float = KEEP) -> DataFrame:
-    """doc_id, the base counts, removed_words (of lines over the limit), base_failed and kept."""
+def _judged(docs: DataFrame, host: str, floor: int, share: float, keep: float) -> tuple[DataFrame, DataFrame]:
     named = texts(docs, F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
     m = written(named.mapInArrow(_measured, _SCHEMA), "quality")
     lines = m.select("doc_id", "host", "text_hash", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("doc_id", "host", "text_hash", F.col("x.lines").alias("line"), F.col("x.line_words").alias("k"))
@@ -96,11 +95,47 @@ def judge(docs: DataFrame, host: str = "source", floor: int = FLOOR, share: floa
     per_line = per_text.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") > floor)
     hosts = m.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("of"))
     over = per_line.join(hosts, "host").where(F.col("n") > share * F.col("of")).select("host", "line", "first")
-    hit = lines.join(over, ["host", "line"]).where("doc_id != first").select("doc_id", "text_hash", "line", "k").distinct()
+    over = lines.join(over, ["host", "line"]).where("doc_id != first")
+    hit = over.select("doc_id", "text_hash", "line", "k").distinct()
     lost = hit.groupBy("doc_id", "text_hash").agg(F.sum("k").alias("removed_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = m.drop("lines", "line_words").join(lost, ["doc_id", "text_hash"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_words") - F.col("removed_words") >= keep * F.col("n_words")))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_words") - F.col("removed_words") >= keep * F.col("n_words"))), over
+
+
+def judge(docs: DataFrame, host: str = "source", floor: int = FLOOR, share: float = SHARE, keep: float = KEEP) -> DataFrame:
+    """doc_id, the base counts, removed_words (of lines over the limit), base_failed and kept."""
+    return _judged(docs, host, floor, share, keep)[0]
+
+
+def without(text: str, lines: set[int]) -> str:
+    """The text without the lines whose signed hashes are in ``lines``; all others stay as they are."""
+    held = []
+    for line in text.encode("utf-8", "replace").split(b"\n"):
+        w = line.split()
+        h = xxhash.xxh64_intdigest(b" ".join(w).translate(LOWER)) if w else 0
+        if not w or (h - (1 << 64) if h >= 1 << 63 else h) not in lines:
+            held.append(line)
+    return b"\n".join(held).decode("utf-8")
+
+
+def cleaned(docs: DataFrame, host: str = "source", floor: int = FLOOR, share: float = SHARE, keep: float = KEEP) -> DataFrame:
+    """The rows of the documents of which every text is kept, in the columns of ``docs``, their texts without the lines
+    over the limit; n_chars, where there is one, follows a text that changed."""
+    judged, over = _judged(docs, host, floor, share, keep)
+    rejected = judged.where(~F.col("kept")).select("doc_id").distinct()
+    lines = over.groupBy("doc_id", "host").agg(F.collect_set("line").alias("lines")).select(F.col("doc_id").alias("_doc"), F.col("host").alias("_host"), F.col("lines").alias("_lines"))
+
+    @F.udf("string", useArrow=True)
+    def clean(text, gone):
+        return text if text is None or gone is None else without(text, set(gone))
+
+    rest = docs.where(F.col("doc_id").isNotNull()).join(rejected, "doc_id", "left_anti")
+    rest = rest.join(lines, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.coalesce(F.col(host).cast("string"), F.lit("")) == F.col("_host")), "left")
+    rest = rest.withColumn("text", clean("text", "_lines"))
+    if "n_chars" in docs.columns:
+        rest = rest.withColumn("n_chars", F.when(F.col("_lines").isNotNull() & F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rest.select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

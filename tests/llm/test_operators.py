@@ -460,6 +460,20 @@ def test_line_frequency(spark, prose):
     assert kept[100] == (False, False) and kept[400] == kept[401] == (True, False) and kept[402] == (True, False)
 
 
+def test_frequent_lines_leave_the_pipeline(spark, prose):
+    import corpus_pipeline
+
+    line = prose(12, 31337, 10**6)
+    body = ["\n".join(prose(12, 100 * i + k) for k in range(6)) for i in range(40)]
+    data = [(i, f"{b}\n\n {line.upper()}\n{line}\nend  é{i}", "h1", "x", -1) for i, b in enumerate(body)]
+    data += [(50, None, "h1", "x", 7), (51, f"{body[0]}\n{line}", "h2", "x", -1), (52, "short", "h1", "x", 5), (None, line, "h1", "x", 0)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, host string, n_chars int")
+    got = {r["doc_id"]: r for r in rows(corpus_pipeline.quality_rules(spark, docs, ""))}
+    want = {i: f"{b}\n\nend  é{i}" for i, b in enumerate(body)} | {0: data[0][1], 51: data[41][1]}
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert all(got[i]["n_chars"] == (-1 if i in (0, 51) else len(want[i])) for i in want)
+
+
 # --- substrings -----------------------------------------------------------------------------------------
 
 
