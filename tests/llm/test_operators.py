@@ -112,6 +112,38 @@ def test_leaks_of_the_middle_of_items(spark, make, prose):
     assert got == {(k, k) for k in range(8)}
 
 
+def test_recall_of_edited_copies_against_brute_force(spark, make, prose):
+    items = [(k, prose(20 + 2 * k, 4000 + k)) for k in range(30)]
+    r, texts = random.Random(9), [prose(200, i) for i in range(200)]
+    for k, t in items * 6:
+        w = t.split()
+        for i in r.sample(range(len(w)), int(len(w) * r.choice([0.1, 0.2, 0.25, 0.3]))):
+            w[i] = "w%d" % min(r.randrange(2000), r.randrange(2000))
+        texts.append(prose(r.randrange(120), len(texts)) + " " + " ".join(w) + " " + prose(r.randrange(120), -len(texts)))
+    hashed, true = [decontam.hashed(t) for t in texts], set()
+    for k, t in items:
+        item = decontam.hashed(t)
+        for d, w in enumerate(hashed):
+            # every place where the item may begin, a text of the item's length and half of it more
+            if any(decontam.lcs_length(item, w[at : at + len(item) * 3 // 2]) >= 0.7 * len(item) for at in range(0, len(w), 4) if len(np.intersect1d(item, w[at : at + len(item) * 3 // 2])) >= 0.6 * len(set(item.tolist()))):
+                true.add((d, k))
+    found = rows(decontam.leaks(make(texts), spark.createDataFrame(items, "item_id long, text string")))
+    got = {(x["doc_id"], x["item_id"]) for x in found}
+    assert len(true) >= 170 and len(got & true) >= 0.9 * len(true)
+    assert all(x["doc_id"] >= 200 for x in found)
+
+
+def test_leaks_of_repeated_rows_equal_items_and_very_long_texts(spark, make, prose, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 256)
+    item = prose(40, 1)
+    long = prose(20_000, 5, 50_000)
+    texts = [prose(100, 2, 50_000) + " " + item, prose(250, 3, 50_000) + " " + item + " " + long, long + " " + item]
+    again = [(0, texts[0], "en", "s", 1, "", "", "")]
+    bench = spark.createDataFrame([(1, item), (2, item), (2, item)], "item_id long, text string")
+    got = sorted((x["doc_id"], x["item_id"]) for x in rows(decontam.leaks(make(texts, again), bench)))
+    assert got == [(0, 1), (0, 1), (0, 2), (0, 2), (1, 1), (1, 2), (2, 1), (2, 2)]
+
+
 @given(st.lists(st.integers(0, 5), max_size=12), st.lists(st.integers(0, 5), max_size=12))
 def test_lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
