@@ -150,7 +150,7 @@ def _sum_blocks(parts: DataFrame, n: int) -> dict[int, np.ndarray]:
     parts = parts.withColumn("of", F.spark_partition_id())
     while True:
         n = -(-n // 64)
-        parts = parts.groupBy("block", F.floor(F.col("of") / 64).cast("int").alias("of")).applyInArrow(_summed, "block long, of int, part binary")
+        parts = parts.select("block", "part", F.floor(F.col("of") / 64).cast("long").alias("of")).groupBy("block", "of").applyInArrow(_summed, "block long, of long, part binary")
         if n <= 1:
             return {r["block"]: np.frombuffer(r["part"], np.float32) for r in parts.collect()}
 
