@@ -46,10 +46,29 @@ def unescape(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else html.unescape(t))
 
 
-@F.pandas_udf(StringType())
-def two_places(x: pd.Series) -> pd.Series:
-    """Two decimal places, rounded by the exact binary value as C and Python do (Java rounds the decimal form)."""
-    return x.map(lambda v: None if v is None or v != v else f"{v:.2f}")
+def fixed(x: Column, places: int, width: int = 0) -> Column:
+    """Decimal places as text, right-aligned in ``width``, rounded by the exact binary value as C and Python do (Java
+    rounds the decimal form); null for null and for what is no number."""
+
+    @F.pandas_udf(StringType())
+    def shown(v: pd.Series) -> pd.Series:
+        return v.map(lambda n: None if n is None or n != n else f"{n:{width}.{places}f}")
+
+    return shown(x.cast("double"))
+
+
+def rounded(x: Column, places: int) -> Column:
+    """The number nearest to x with so many decimal places, by the exact binary value."""
+    return fixed(x, places).cast("double")
+
+
+def two_places(x: Column) -> Column:
+    return fixed(x, 2)
+
+
+def strip(x: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(x, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def trim_space(x: Column) -> Column:

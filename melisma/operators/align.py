@@ -224,11 +224,25 @@ def candidates(pairs: DataFrame, known: DataFrame, times: DataFrame, key: str =
 def longest_increasing(ends: list[float]) -> list[int]:
     """Positions of the longest strictly increasing subsequence: the first end among the longest ones, and for every
     element the first predecessor among those with the longest run."""
+    # elements of one length never ascend, so the least end of each length is its last, and its first one below x is found by
+    # bisection as well
+    least: list[float] = []
+    of: list[tuple[list[float], list[int]]] = []
     length, before = [], []
     for i, x in enumerate(ends):
-        best = max((length[k] for k in range(i) if ends[k] < x), default=0)
+        best = bisect.bisect_left(least, x)
+        if best:
+            falling, places = of[best - 1]
+            before.append(places[bisect.bisect_right(falling, -x)])
+        else:
+            before.append(-1)
+        if best == len(least):
+            least.append(x)
+            of.append(([], []))
+        least[best] = x
+        of[best][0].append(-x)
+        of[best][1].append(i)
         length.append(best + 1)
-        before.append(next((k for k in range(i) if ends[k] < x and length[k] == best), -1) if best else -1)
     at, out = length.index(max(length)) if length else -1, []
     while at >= 0:
         out.append(at)
@@ -293,7 +307,8 @@ def prepare(heard: DataFrame, known: DataFrame, key: str = "rec_id") -> tuple[Da
 
 
 def find_anchors(heard: DataFrame, known: DataFrame, key: str = "rec_id") -> dict[str, DataFrame]:
-    """pairs, anchors, coverage and matches (pairs of similarity FLOOR or more with their times)."""
+    """pairs, anchors, coverage and matches (pairs of similarity FLOOR or more with their times). The pairs are cached for the
+    others; a caller that is done with all of them unpersists ``pairs``."""
     h, k, times = prepare(heard, known, key)
     pairs = align_sequences(h, k, key).persist()  # four results build on it
     matched = pairs.where(F.col("asr_i").isNotNull() & F.col("ref_j").isNotNull() & (F.col("sim") >= FLOOR))

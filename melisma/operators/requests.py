@@ -41,13 +41,13 @@ def build_ref(book: Column, chapter: Column, verse: Column, chapter_end: Column,
 
 def to_english(book: Column) -> Column:
     """The English title of a known name, any other name trimmed. The names are a fixed map of a few dozen entries."""
-    name = F.trim(F.coalesce(book, F.lit("")))
+    name = T.strip(F.coalesce(book, F.lit("")))
     known = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
     return F.coalesce(F.try_element_at(known, name), name)
 
 
 def is_known(book: Column) -> Column:
-    return F.trim(F.coalesce(book, F.lit(""))).isin(list(NAMES))
+    return T.strip(F.coalesce(book, F.lit(""))).isin(list(NAMES))
 
 
 def book_titles(requests: DataFrame, book: str = "book") -> DataFrame:
@@ -56,29 +56,31 @@ def book_titles(requests: DataFrame, book: str = "book") -> DataFrame:
     return requests.withColumn("_title", to_english(F.col(book))).join(F.broadcast(dim), "_title", "left").drop("_title")
 
 
-_INTEGER = "^[+-]?[0-9]+$"
+#: Digits may be grouped by single underscores.
+_INTEGER = "^[+-]?[0-9]+(_[0-9]+)*$"
 
 
 def read_int(raw: Column, required: bool = False) -> tuple[Column, Column]:
     """Value and error of a query field: blank is null (an error if required), then whole numbers from 1 on."""
-    t = F.trim(F.coalesce(raw, F.lit("")))
-    n = F.when(t.rlike(_INTEGER), t.try_cast("long"))
+    t = T.strip(F.coalesce(raw, F.lit("")))
+    n = F.when(t.rlike(_INTEGER), F.replace(t, F.lit("_"), F.lit("")).try_cast("long"))
     error = F.when(t == "", F.lit("missing") if required else F.lit(None)).when(~t.rlike(_INTEGER) | n.isNull(), "not a number").when(n < 1, "below one")
     return F.when(error.isNull(), n), error
 
 
 def int_or_none(raw: Column, least: int = 1) -> tuple[Column, Column]:
     """Value and error of a form field: null, blank and 0 are null, then whole numbers from ``least`` on."""
-    t = F.trim(F.coalesce(raw, F.lit("")))
-    n = F.when(t.rlike(_INTEGER), t.try_cast("long"))
+    t = T.strip(F.coalesce(raw, F.lit("")))
+    n = F.when(t.rlike(_INTEGER), F.replace(t, F.lit("_"), F.lit("")).try_cast("long"))
     error = F.when(t.isin("", "0"), None).when(n.isNull(), "not a number").when(n < least, "too small")
     return F.when(error.isNull() & ~t.isin("", "0"), n), error
 
 
 def parse_splits(raw: Column) -> tuple[Column, Column]:
     """Sizes and error: a JSON list of whole numbers from 1 on with a sum within the limit; blank is null."""
-    t = F.trim(F.coalesce(raw, F.lit("")))
-    shaped = t.rlike(r"^\[\s*-?(0|[1-9][0-9]*)(\s*,\s*-?(0|[1-9][0-9]*))*\s*\]$")
+    t = T.strip(F.coalesce(raw, F.lit("")))
+    # outside the list only the white space that JSON knows may stand
+    shaped = raw.rlike(r"^[ \t\n\r]*\[\s*-?(0|[1-9][0-9]*)(\s*,\s*-?(0|[1-9][0-9]*))*\s*\][ \t\n\r]*$")
     sizes = F.when(shaped, F.from_json(t, "array<long>"))
     error = F.when(t == "", None).when(~shaped | F.exists(sizes, lambda x: x.isNull()), "malformed").when(F.exists(sizes, lambda x: x < 1), "empty segment").when(F.aggregate(sizes, F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + x).cast("decimal(38,0)")) > MAX_SPLIT_WORDS, "too long")
     return F.when(error.isNull() & (t != ""), sizes), error
@@ -101,7 +103,7 @@ def parse_params(requests: DataFrame, keys: list[str]) -> DataFrame:
     sizes, e6 = parse_splits(F.col("splits"))
     words = F.coalesce(words, F.lit(WORDS_DEFAULT))
     error = F.coalesce(
-        F.when(F.trim(F.coalesce("book", F.lit(""))) == "", "book: missing"),
+        F.when(T.strip(F.coalesce("book", F.lit(""))) == "", "book: missing"),
         F.when(~is_known(F.col("book")), "book: unknown"),
         F.concat(F.lit("chapter: "), e1),
         F.when(chapter.isNull(), "chapter: missing"),
@@ -114,7 +116,7 @@ def parse_params(requests: DataFrame, keys: list[str]) -> DataFrame:
         F.when((words < WORDS_RANGE[0]) | (words > WORDS_RANGE[1]), "max_words: out of range"),
         F.concat(F.lit("splits: "), e6),
     )
-    return requests.select(*keys, F.trim("book").alias("book"), chapter.alias("chapter"), start.alias("verse_start"), end.alias("verse_end"), last.alias("chapter_end"), words.alias("max_words"), sizes.alias("splits"), error.alias("error"))
+    return requests.select(*keys, T.strip(F.col("book")).alias("book"), chapter.alias("chapter"), start.alias("verse_start"), end.alias("verse_end"), last.alias("chapter_end"), words.alias("max_words"), sizes.alias("splits"), error.alias("error"))
 
 
 def check_upload(size: Column, name: Column) -> tuple[Column, Column]:

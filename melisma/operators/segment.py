@@ -151,13 +151,14 @@ def regroup_words(words: DataFrame, splits: DataFrame, keys: list[str]) -> DataF
     """Custom groups: words (keys, word_ix from 0, word, verse) by sizes (keys, seg_ix, size).
 
     Fails if a size is below one or the sizes of a key do not add up to its words. The verse of a segment is that of its
-    first word. The range join runs over an equi-join of the keys, so a key's words meet its own sizes only."""
+    first word. Sizes are exploded to the positions they cover, so that each word meets one row."""
     total = splits.groupBy(*keys).agg(F.sum("size").alias("_total"), F.min("size").alias("_least"))
     count = words.groupBy(*keys).agg(F.count("*").alias("_count"))
     checked = total.join(count, keys, "full").select(*keys, F.when((F.coalesce("_total", F.lit(-1)) != F.coalesce("_count", F.lit(0))), F.raise_error(F.format_string("sizes cover %d words, the text has %d", F.coalesce("_total", F.lit(0)), F.coalesce("_count", F.lit(0))))).when(F.col("_least") < 1, F.raise_error(F.lit("every segment needs a word at least"))).otherwise(True).alias("_ok"))
     upto = F.sum("size").over(Window.partitionBy(*keys).orderBy("seg_ix").rowsBetween(Window.unboundedPreceding, 0))
     ranges = splits.select(*keys, "seg_ix", (upto - F.col("size")).alias("_lo"), upto.alias("_hi")).join(checked, keys).where("_ok")
-    inside = words.join(ranges, keys).where((F.col("word_ix") >= F.col("_lo")) & (F.col("word_ix") < F.col("_hi")))
+    covered = ranges.select(*keys, "seg_ix", F.explode(F.sequence(F.col("_lo").cast("int"), F.col("_hi").cast("int") - 1)).alias("word_ix"))
+    inside = words.join(covered, [*keys, "word_ix"])
     ordered = inside.groupBy(*keys, "seg_ix").agg(F.array_sort(F.collect_list(F.struct("word_ix", "word", "verse"))).alias("_w"))
     display, pointed, plain = build_segment(F.transform("_w", lambda w: w["word"]))
     built = ordered.select(*keys, "seg_ix", display.alias("display"), pointed.alias("align_vocalized"), plain.alias("align_plain"), F.col("_w")[0]["verse"].alias("verse"))

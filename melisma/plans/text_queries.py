@@ -109,7 +109,7 @@ def accent_check(spark, d):
     return verses(spark, d).groupBy("doc_id").agg(F.count("*").alias("verses"), F.count_if(F.col("text").rlike("[֑-֯]")).alias("accented"))
 
 
-@query("codepoint_dump")
+@query("codepoint_dump", with_("word", "SELECT doc_id, s, i, CAST(j - 1 AS INT) AS j, 'U+' || lpad(upper(to_hex(ord(c))), CAST(greatest(4, length(to_hex(ord(c)))) AS INT), '0') AS code FROM (SELECT doc_id, s, i, unnest(string_split(word, '')) AS c, generate_subscripts(string_split(word, ''), 1) AS j FROM word WHERE i < 2) WHERE c <> ''"))
 def codepoint_dump(spark, d):
     first = words(spark, d).where("i < 2").select(*KEY, F.posexplode(F.split("word", "")).alias("j", "c")).where("c != ''")
     return first.select(*KEY, "j", F.concat(F.lit("U+"), F.lpad(F.regexp_replace(F.hex(F.encode("c", "UTF-32")), "^0+(?=.{4})", ""), 4, "0")).alias("code"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from melisma.functions import text as T
 from melisma.operators import align, quality, signal, windows
 from melisma.plans.registry import query
-from melisma.plans.standins import hebrew, read, recordings, with_
+from melisma.plans.standins import FROM, TO, hebrew, read, recordings, with_
 from melisma.sources import files
 
 
@@ -71,14 +71,24 @@ def _streams(spark, d):
     return heard.select("rec_id", (2 * F.col("ix") + F.col("j")).alias("ix"), "word", (F.col("ix") * 0.5).alias("start"), (F.col("ix") * 0.5 + 0.4).alias("end")), known
 
 
-@query("weighted_distance")
+# The known words of the streams, normalised, and the table of the distance, a row of it in each step.
+_SPOKEN = f"""SELECT rec_id, ix, CASE WHEN w = '{T.HEARD_AS}' THEN '{T.READ_AS}' ELSE w END AS word FROM (SELECT conv_id * 1000 + turn AS rec_id, ix, translate(regexp_replace(translate(w, '{FROM}', '{TO}'), '[^א-ת]', '', 'g'), '{T.FINALS}', '{T.ORDINARY}') AS w FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(text), '\\s+')) AS w, generate_subscripts(regexp_split_to_array(lower(text), '\\s+'), 1) AS ix FROM conversations) WHERE regexp_matches(w, '[a-z]'))"""
+_CHEAP = "CASE WHEN {0} IN ('ו', 'י') THEN 0.25 ELSE 1.0 END :: DOUBLE"
+_TABLE = f"""SELECT a, b, 0 AS i, cum AS r, cum FROM (SELECT a, b, list_transform(range(0, len(b) + 1), lambda j: coalesce(list_sum(list_transform(string_split(b[1:j], ''), lambda c: CASE WHEN c = '' THEN 0.0 ELSE {_CHEAP.format('c')} END)), 0.0) :: DOUBLE) AS cum FROM two)
+UNION ALL SELECT a, b, i + 1, list_transform(range(1, len(b) + 2), lambda j: cum[j] + list_min(list_transform(range(1, j + 1), lambda k: (CASE WHEN k = 1 THEN r[1] + {_CHEAP.format('a[i + 1]')} ELSE least(r[k - 1] + CASE WHEN a[i + 1] = b[k - 1] THEN 0.0 ELSE 1.0 END :: DOUBLE, r[k] + {_CHEAP.format('a[i + 1]')}) END) - cum[k]))), cum FROM dp WHERE i < len(a)"""
+_TWO = "SELECT DISTINCT word AS a, reverse(word) AS b FROM spoken WHERE word <> ''"
+_NEXT = "SELECT DISTINCT a, b FROM (SELECT word AS a, lead(word) OVER (PARTITION BY rec_id ORDER BY ix) AS b FROM spoken) WHERE b IS NOT NULL"
+_DISTANCE = f"WITH RECURSIVE spoken AS ({_SPOKEN}), two AS ({{0}}), dp AS ({_TABLE}) SELECT a, b, {{1}} FROM dp WHERE i = len(a)"
+
+
+@query("weighted_distance", _DISTANCE.format(_TWO, "r[len(b) + 1] AS distance"))
 def weighted_distance(spark, d):
     _, known = _streams(spark, d)
     w = known.select(T.normalize_word(F.col("word")).alias("a"), F.reverse(T.normalize_word(F.col("word"))).alias("b")).where(F.length("a") > 0).distinct()
     return w.select("a", "b", align._distance(F.col("a"), F.col("b")).alias("distance"))
 
 
-@query("word_similarity")
+@query("word_similarity", _DISTANCE.format(_NEXT, "CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 WHEN abs(len(a) - len(b)) > 3 THEN 0.0 ELSE greatest(0.0, 1 - r[len(b) + 1] / greatest(len(a), len(b))) END :: DOUBLE AS similarity"))
 def word_similarity(spark, d):
     _, known = _streams(spark, d)
     n = T.normalize_word(F.col("word"))
@@ -96,7 +106,13 @@ def align_sequences(spark, d):
     return _found(spark, d)["pairs"]
 
 
-@query("longest_increasing")
+_RISING = """SELECT rec_id, k, [value] AS vs, [1] AS ls, [0] AS bs FROM rec WHERE k = 0
+UNION ALL SELECT rec_id, k, list_append(vs, value), list_append(ls, best + 1), list_append(bs, CASE WHEN best = 0 THEN 0 ELSE list_min(list_filter(range(1, len(vs) + 1), lambda j: vs[j] < value AND ls[j] = best)) END) FROM (SELECT rec.rec_id, rec.k, vs, ls, bs, value, coalesce(list_max(list_transform(list_filter(range(1, len(vs) + 1), lambda j: vs[j] < value), lambda j: ls[j])), 0) AS best FROM rise JOIN rec ON rec.rec_id = rise.rec_id AND rec.k = rise.k + 1)"""
+_BACK = """SELECT rec_id, CAST(list_position(ls, list_max(ls)) AS BIGINT) AS place, bs FROM rise WHERE (rec_id, k) IN (SELECT rec_id, max(k) FROM rec GROUP BY rec_id)
+UNION ALL SELECT rec_id, bs[place], bs FROM back WHERE bs[place] > 0"""
+
+
+@query("longest_increasing", with_("rec", "SELECT rec.rec_id, k, value FROM back JOIN rec ON rec.rec_id = back.rec_id AND k = place - 1", {"rise": _RISING, "back": _BACK}, True))
 def longest_increasing(spark, d):
     longest = align.longest_increasing
 
@@ -107,12 +123,18 @@ def longest_increasing(spark, d):
     return recordings(spark, d).select("rec_id", "k", "value").groupBy("rec_id").applyInPandas(run, "rec_id long, k int, value double")
 
 
-@query("enforce_rate")
+# While two neighbours are out of pace one of them goes, and the look goes back by one.
+_PACED = """SELECT rec_id, 1 AS i, list({'ref': k, 'fin': t + 0.4, 'start': t, 'sim': (event_id * 37 % 101) / 100.0} ORDER BY k) AS xs FROM rec WHERE k % 3 = 0 GROUP BY rec_id
+UNION ALL SELECT rec_id, CASE WHEN fits THEN i + 1 ELSE greatest(1, i - 1) END, CASE WHEN fits THEN xs ELSE list_concat(xs[1:i - CASE WHEN xs[i].sim <= xs[i + 1].sim THEN 1 ELSE 0 END], xs[i + CASE WHEN xs[i].sim <= xs[i + 1].sim THEN 1 ELSE 2 END:]) END FROM (SELECT *, greatest(xs[i + 1].fin - xs[i].fin, 1e-6) / greatest(xs[i + 1].ref - xs[i].ref, 1) BETWEEN 0.12 AND 4.0 AS fits FROM paced WHERE i < len(xs))"""
+
+
+@query("enforce_rate", with_("rec", "SELECT rec_id, x.ref AS ref, round(x.start, 6) AS start, round(x.fin, 6) AS finish, x.sim AS sim FROM (SELECT rec_id, unnest(xs) AS x FROM paced WHERE i >= len(xs))", {"paced": _PACED}, True))
 def enforce_rate(spark, d):
     a = recordings(spark, d).where("k % 3 = 0").select("rec_id", F.col("k").alias("ref"), F.col("t").alias("start"), (F.col("t") + 0.4).alias("end"), ((F.col("event_id") * 37 % 101) / 100.0).alias("sim"))
     names, enforce = ["rec_id", "ref", "start", "end", "sim"], align.enforce_rate
     run = lambda x: pd.DataFrame(enforce(x.sort_values("ref").to_dict("records")), columns=names)
-    return a.groupBy("rec_id").applyInPandas(run, "rec_id long, ref int, start double, end double, sim double")
+    out = a.groupBy("rec_id").applyInPandas(run, "rec_id long, ref int, start double, end double, sim double")
+    return out.select("rec_id", "ref", r6(F.col("start"), "start"), r6(F.col("end"), "finish"), "sim")
 
 
 @query("select_anchors")
@@ -337,6 +359,34 @@ def frame_db(spark, d):
     return _frames(spark, d).select("rec_id", "frame", F.round(F.col("db").cast("double"), 3).alias("db"))
 
 
+@query("frame_db_channels", "SELECT vec_id AS rec_id, f AS frame, round(CAST(CAST(20 * log10(sqrt(list_sum(list_transform(embedding[f * 8 + 1 : f * 8 + 16], lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))) / 16) + 1e-8) AS FLOAT) AS DOUBLE), 3) AS db FROM (SELECT vec_id, embedding, CAST(unnest(range((len(embedding) // 2 - 8) // 4 + 1)) AS INT) AS f FROM embeddings)")
+def frame_db_channels(spark, d):
+    x = read(spark, d, "embeddings").select(F.col("vec_id").alias("rec_id"), F.posexplode("embedding").alias("p", "x"))
+    samples = x.select("rec_id", (F.col("p") % 2).alias("channel"), F.floor(F.col("p") / 2).alias("i"), "x")
+    return signal.frame_db_rows(samples, 4, 8).select("rec_id", "frame", F.round(F.col("db").cast("double"), 3).alias("db"))
+
+
+@query("wave_samples", "SELECT vec_id AS rec_id, CAST(i - 1 AS INT) AS i, CAST(floor(CAST(embedding[i] AS DOUBLE) * 1000) / 32768.0 AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings WHERE len(embedding) = 64)")
+def wave_samples(spark, d):
+    # a wave of 64 samples for each embedding, header and all
+    head = b"RIFF" + (36 + 128).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + b"".join(n.to_bytes(k, "little") for n, k in ((1, 2), (files.CHANNELS, 2), (files.RATE, 4), (files.RATE * 2, 4), (2, 2), (16, 2))) + b"data" + (128).to_bytes(4, "little")
+    word = F.transform("embedding", lambda v: F.lpad(F.hex(F.pmod(F.floor(v.cast("double") * 1000), F.lit(65536))), 4, "0"))
+    little = F.array_join(F.transform(word, lambda h: F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2))), "")
+    waves = read(spark, d, "embeddings").where(F.size("embedding") == 64).select(F.col("vec_id").cast("string").alias("path"), F.unhex(F.concat(F.lit(head.hex()), little)).alias("content"))
+    got = files.wave_chunks(waves, 16).select(F.col("path").cast("long").alias("rec_id"), "chunk_ix", F.posexplode("samples").alias("p", "x"))
+    return got.select("rec_id", (F.col("chunk_ix") * 16 + F.col("p")).alias("i"), F.col("x").cast("double").alias("x"))
+
+
+# File listings: pages as files, most of them recordings.
+@query("newest_recording", "SELECT folder, arg_max(name || page_id, {'a': changed, 'p': name || page_id}) AS path FROM (SELECT page_id, page_id % 7 AS folder, changed, CASE page_id % 4 WHEN 0 THEN 'a.mp3/' WHEN 1 THEN 'b.m4a/' WHEN 2 THEN 'c.wav/' ELSE 'notes.txt/' END AS name FROM (SELECT page_id, page_id % 13 AS changed FROM pages)) WHERE name <> 'notes.txt/' GROUP BY folder")
+def newest_recording(spark, d):
+    n = F.col("page_id") % 4
+    name = F.when(n == 0, "a.mp3").when(n == 1, "b.m4a").when(n == 2, "c.wav").otherwise("notes.txt")
+    listed = read(spark, d, "pages").select((F.col("page_id") % 7).alias("folder"), "page_id", (F.col("page_id") % 13).alias("modificationTime"), name.alias("path"))
+    found = files.only_recordings(listed).withColumn("path", F.concat("path", F.lit("/"), F.col("page_id").cast("string")))
+    return files.newest(found, ["folder"])
+
+
 @query("speech_threshold", f"WITH db AS ({_DB}), th AS ({_TH}) SELECT vec_id AS rec_id, round(th, 3) AS threshold FROM th")
 def speech_threshold(spark, d):
     return _frames(spark, d).groupBy("rec_id").agg(F.round(signal.speech_threshold(F.collect_list("db")), 3).alias("threshold"))
@@ -434,9 +484,9 @@ def segment_interpolated(spark, d):
 
 _SIGNAL = "SELECT event_id, user_id AS rec_id, event_type, CASE WHEN event_id % 23 = 0 THEN NULL ELSE (event_id % 97) / 97.0 END AS score, CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_id % 71 END AS dist, CASE WHEN event_id % 7 = 0 THEN NULL ELSE (event_id % 31) / 11.0 END AS gap, CASE event_id % 3 WHEN 1 THEN true WHEN 2 THEN false END AS snapped, event_id % 17 = 0 AS interpolated FROM events"
 _TOTAL = "0.35 * coalesce(least(1.0, greatest(0.0, score)), 0.5) + 0.25 * coalesce(greatest(0.0, 1 - dist / 50.0), 0.0) + 0.2 * CASE WHEN gap IS NULL THEN 0.5 WHEN gap <= 0.5 THEN 1.0 ELSE greatest(0.0, 1 - (gap - 0.5) / 1.5) END + 0.2 * CASE WHEN snapped IS NULL THEN 0.5 WHEN snapped THEN 1.0 ELSE 0.4 END"
-_CONF = f"round(CASE WHEN interpolated THEN least(0.3, {_TOTAL}) ELSE {_TOTAL} END, 3)"
+_CONF = f"CAST(printf('%.3f', CASE WHEN interpolated THEN least(0.3, {_TOTAL}) ELSE {_TOTAL} END) AS DOUBLE)"
 _R = quality.REASONS
-_WHY = f"coalesce(nullif(concat_ws('; ', CASE WHEN interpolated THEN '{_R['interpolated']}' END, CASE WHEN dist IS NULL OR dist >= 50 THEN '{_R['anchor']}' END, CASE WHEN gap > 2.0 THEN printf('{_R['gap']}', gap) END, CASE WHEN NOT snapped THEN '{_R['voice']}' END, CASE WHEN score < 0.2 THEN '{_R['score']}' END), ''), '—')"
+_WHY = f"coalesce(nullif(concat_ws('; ', CASE WHEN interpolated THEN '{_R['interpolated']}' END, CASE WHEN dist IS NULL OR dist >= 50 THEN '{_R['anchor']}' END, CASE WHEN gap > 2.0 THEN printf('{_R['gap'].replace('%s', '%.1f')}', gap) END, CASE WHEN NOT snapped THEN '{_R['voice']}' END, CASE WHEN score < 0.2 THEN '{_R['score']}' END), ''), '—')"
 
 
 def _signals(spark, d):
@@ -507,6 +557,11 @@ def comparison_table(spark, d):
     return quality.comparison_lines(_metrics(spark, d))
 
 
+@query("comparison_text", f"WITH pred AS ({_PRED}), m AS ({_METRIC}) SELECT '{quality.COMPARISON}' || chr(10) || repeat('=', {len(quality.COMPARISON_HEAD)}) || chr(10) || '{quality.COMPARISON_HEAD}' || chr(10) || repeat('-', {len(quality.COMPARISON_HEAD)}) || chr(10) || string_agg(printf('%-24s %9.1f%% %9.1f%% %7.2fs %7.2fs %6d %6d', method, pct_within_05, pct_within_10, median_abs, max_abs, early, late), chr(10) ORDER BY method) || chr(10) || chr(10) || '{quality.COMPARISON_GOAL}' AS \"table\" FROM m")
+def comparison_text(spark, d):
+    return quality.comparison_text(_metrics(spark, d), "method")
+
+
 @query("equal_split_baseline", with_("rec", "SELECT rec_id, seg_ix, round(120.0 * (sum(greatest(1, letters)) OVER w - greatest(1, letters)) / sum(greatest(1, letters)) OVER (PARTITION BY rec_id), 6) AS start FROM seg WINDOW w AS (PARTITION BY rec_id ORDER BY seg_ix)", {"seg": _SEG}))
 def equal_split_baseline(spark, d):
     s = quality.equal_split(_segments(spark, d).withColumn("duration", F.lit(120.0)))

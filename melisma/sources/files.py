@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from melisma.functions import text as T
+
 # Extensions of recordings; what a wave must be.
 EXTENSIONS = ("m4a", "mp3", "wav", "aac", "ogg", "opus", "flac", "wma", "mp4", "mov", "mkv", "webm")
 RATE, CHANNELS, WIDTH = 16_000, 1, 2
@@ -18,16 +20,30 @@ RATE, CHANNELS, WIDTH = 16_000, 1, 2
 
 def recordings(spark: SparkSession, path: str) -> DataFrame:
     """path, modificationTime, length of the recordings in a folder; contents are not read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}").load(path).drop("content")
+    return only_recordings(spark.read.format("binaryFile").load(path).drop("content"))
+
+
+def only_recordings(files: DataFrame) -> DataFrame:
+    """The rows of a file listing whose ``path`` ends in an extension of recordings."""
+    return files.where(F.col("path").rlike(r"\.(" + "|".join(EXTENSIONS) + ")$"))
+
+
+def newest(files: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, path of the file that was changed last, of several the one whose path sorts last."""
+    return files.groupBy(*keys or []).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
 
 
 def newest_recording(spark: SparkSession, path: str) -> DataFrame:
-    return recordings(spark, path).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
+    return newest(recordings(spark, path))
 
 
 def read_waves(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFrame:
     """path, chunk_ix, samples (array<float> in [-1, 1)): 16 kHz mono 16-bit waves in chunks; anything else is an error."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "content")
+    return wave_chunks(spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "content"), chunk)
+
+
+def wave_chunks(files: DataFrame, chunk: int = 1 << 16) -> DataFrame:
+    """path, chunk_ix, samples of the waves in (path, content)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
@@ -70,7 +86,7 @@ def write_texts(texts: DataFrame, path: str, column: str, bom: bool = False) ->
 
 def truth_line(start, verse, display):
     """A line of a ground-truth file: the time in eight places, then a comment."""
-    return F.concat(F.format_string("%8.2f", start), F.lit("  # פסוק "), verse.cast("string"), F.lit(": "), display)
+    return F.concat(T.fixed(start, 2, 8), F.lit("  # פסוק "), verse.cast("string"), F.lit(": "), display)
 
 
 def truth_times(lines: DataFrame, column: str = "value") -> DataFrame:

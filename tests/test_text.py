@@ -188,3 +188,17 @@ def test_versions_and_pushes(spark):
     assert [r["p"] is not None for r in got] == [True, False, False, False]
     t = spark.createDataFrame([("r", 0, "a"), ("r", 1, " "), ("r", 2, "b")], "rec string, i int, text string")
     assert [(r["verse"], r["text"]) for r in requests.number_verses(t, "rec", "i").orderBy("verse").collect()] == [(1, "a"), (2, "b")]
+
+
+def test_numbers_round_by_their_binary_value(spark):
+    d = spark.createDataFrame([(2.25,), (0.125,), (0.6125,), (2.675,), (-0.5,), (None,), (float("nan"),)], "x double")
+    got = d.select(T.fixed(F.col("x"), 1), T.fixed(F.col("x"), 2, 8), T.rounded(F.col("x"), 3)).collect()
+    assert [tuple(r) for r in got[:5]] == [(f"{x:.1f}", f"{x:8.2f}", round(x, 3)) for x in (2.25, 0.125, 0.6125, 2.675, -0.5)]
+    assert [tuple(r) for r in got[5:]] == [(None, None, None)] * 2
+
+
+def test_fields_are_trimmed_of_all_white_space(spark):
+    d = spark.createDataFrame([("\t Genesis ", "\n7 ", "\t[1, 2]\n"), ("x", "1_0", " ")], "b string, n string, s string")
+    got = d.select(requests.to_english(F.col("b")).alias("b"), requests.is_known(F.col("b")).alias("k"), requests.read_int(F.col("n"))[0].alias("n"), requests.int_or_none(F.col("n"))[0].alias("m"), requests.parse_splits(F.col("s"))[0].alias("s"), requests.parse_splits(F.col("s"))[1].alias("e")).collect()
+    assert tuple(got[0]) == ("Genesis", True, 7, 7, [1, 2], None)
+    assert tuple(got[1]) == ("x", False, 10, 10, None, None)

@@ -303,3 +303,28 @@ def test_files(spark, tmp_path):
     assert [len(r["samples"]) for r in s] == [4, 4, 2] and s[0]["samples"][0] == 0.5
     lines = spark.createDataFrame([("# head",), ("    1.25  # x",), ("",), ("2.5",)], "value string")
     assert [r["start"] for r in files.truth_times(lines).collect()] == [1.25, 2.5]
+
+
+def test_longest_increasing_against_the_definition():
+    r = random.Random(4)
+    for _ in range(300):
+        ends = [r.randrange(8) for _ in range(r.randrange(12))]
+        length, before = [], []
+        for i, x in enumerate(ends):
+            best = max((length[k] for k in range(i) if ends[k] < x), default=0)
+            length.append(best + 1)
+            before.append(next((k for k in range(i) if ends[k] < x and length[k] == best), -1) if best else -1)
+        at, want = length.index(max(length)) if length else -1, []
+        while at >= 0:
+            want.append(at)
+            at = before[at]
+        assert align.longest_increasing(ends) == want[::-1]
+
+
+def test_medians_of_many_values_without_gathering_them(spark):
+    r = random.Random(5)
+    values = {m: [r.choice([0.0, 0.25, r.random() * 10 ** r.randrange(-3, 4)]) * r.choice([-1, 1]) for _ in range(n)] for m, n in (("a", 1), ("b", 2), ("c", 501), ("d", 1000))}
+    got = {x["method"]: x for x in quality.error_metrics(spark.createDataFrame([(m, v) for m, vs in values.items() for v in vs], "method string, error double")).collect()}
+    for m, vs in values.items():
+        ordered = sorted(map(abs, vs))
+        assert (got[m]["n"], got[m]["median_abs"], got[m]["max_abs"]) == (len(vs), ordered[len(vs) // 2], ordered[-1])
