@@ -1,15 +1,17 @@
 """Quality rules with cross-document line frequency.
 
-Lines are normalised (words, A-Z lower-cased, single spaces) and hashed. For every host the documents with different
-texts that hold a line are counted, so that exact copies count once; a line is over the limit if more than
-``max(floor, share * documents of the host)`` hold it. ``cleaned`` removes such a line everywhere but in the document with
-the smallest id; ``judge`` counts the words that this takes, and a document that keeps less than ``keep`` of its words is depleted and rejected.
+Lines are normalised (words, A-Z lower-cased, single spaces) and hashed. For every host the distinct documents that hold a
+line are counted; a line is over the limit if more than ``max(floor, share * documents of the host)`` hold it. ``cleaned``
+removes such a line everywhere but in the document with the smallest id, so that no line is lost altogether; ``judge``
+counts the words that this takes. A document is depleted, and rejected, when less than ``keep`` of its words or fewer than
+``LEAST`` words are left.
 
-Counting is done in two aggregations with partial sums (per text, then per line), so a hot host or line never meets in
+Counting is done in two aggregations with partial sums (per document, then per line), so a hot host or line never meets in
 one task.
 
-Defined results: null text has no words (rejected as too short); null source is a host of its own; repeated rows of one
-document count once for line frequency and give repeated output rows; an empty table gives no rows.
+Defined results: null text has no words (rejected as too short); null source and an empty one are the same host; texts are
+read whole, whatever their length; repeated rows of one document count once for line frequency and give repeated output
+rows, each judged by its own text; a line exactly at the limit stays; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from melisma.llm.common import LOWER, U64, Out, mix, rows_of, table, texts, written
 
-FLOOR, SHARE, KEEP = 20, 0.002, 0.5
+FLOOR, SHARE, KEEP, LEAST = 3, 0.02, 0.5, 50
 _SYMBOLS = bytes(set(range(256)) - set(b"#*$%&|<>"))
 
 
@@ -91,16 +93,16 @@ def _judged(docs: DataFrame, host: str, floor: int, share: float, keep: float) -
     named = texts(docs, F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"))
     m = written(named.mapInArrow(_measured, _SCHEMA), "quality")
     lines = m.select("doc_id", "host", "text_hash", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("doc_id", "host", "text_hash", F.col("x.lines").alias("line"), F.col("x.line_words").alias("k"))
-    per_text = lines.groupBy("host", "line", "text_hash").agg(F.min("doc_id").alias("first"))
-    per_line = per_text.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") > floor)
-    hosts = m.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("of"))
+    per_line = lines.select("host", "line", "doc_id").distinct().groupBy("host", "line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") > floor)
+    hosts = m.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("of"))
     over = per_line.join(hosts, "host").where(F.col("n") > share * F.col("of")).select("host", "line", "first")
     over = lines.join(over, ["host", "line"]).where("doc_id != first")
     hit = over.select("doc_id", "text_hash", "line", "k").distinct()
     lost = hit.groupBy("doc_id", "text_hash").agg(F.sum("k").alias("removed_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = m.drop("lines", "line_words").join(lost, ["doc_id", "text_hash"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_words") - F.col("removed_words") >= keep * F.col("n_words"))), over
+    left = F.col("n_words") - F.col("removed_words")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (left >= LEAST) & (left >= keep * F.col("n_words"))), over
 
 
 def judge(docs: DataFrame, host: str = "source", floor: int = FLOOR, share: float = SHARE, keep: float = KEEP) -> DataFrame:
@@ -151,9 +153,9 @@ hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i
 raw AS (SELECT doc_id, host, text, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d)),
 lines AS (SELECT doc_id, host, text, line, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm, len(lw) AS k FROM raw WHERE len(lw) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
-often AS (SELECT host, norm, min(doc_id) AS first FROM lines JOIN (SELECT host, count(DISTINCT text) AS of_ FROM d GROUP BY host) USING (host) GROUP BY host, norm, of_ HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.002 * of_),
+often AS (SELECT host, norm, min(doc_id) AS first FROM lines JOIN (SELECT host, count(DISTINCT doc_id) AS of_ FROM d GROUP BY host) USING (host) GROUP BY host, norm, of_ HAVING count(DISTINCT doc_id) > 3 AND count(DISTINCT doc_id) > 0.02 * of_),
 lost AS (SELECT l.doc_id, sum(k) AS n FROM lines l JOIN often o ON l.host = o.host AND l.norm = o.norm WHERE l.doc_id <> o.first GROUP BY l.doc_id),
 m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS removed_words FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN hit USING (doc_id) LEFT JOIN lost USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - removed_words >= 0.5 * n_words AS kept, removed_words FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words - removed_words >= 50 AND n_words - removed_words >= 0.5 * n_words AS kept, removed_words FROM b
 """

@@ -444,10 +444,24 @@ def test_url_rules_and_templates(spark):
         host, path, rule, verdict = brute_url(u)
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule)
         assert got[i]["verdict"] == verdict if verdict else got[i]["verdict"] in ("allow", "block")
-    assert all(got[i]["verdict"] == "allow" for i, u in enumerate(us) if u and "s.net/en" in u)
+    # without a label of its own, but built like the branch that is blocked
+    assert all(got[i]["verdict"] == "block" for i, u in enumerate(us) if u and "s.net/en" in u)
     assert len({got[i]["template"] for i, u in enumerate(us) if u and "s.org" in u}) < 5
 
 
+def test_url_branches_that_differ_stay_apart(spark):
+    us = [f"http://s.net/es/{i}" for i in range(40)] + [f"http://s.net/about/team/member/{i}/x/y/z{k}" for i in range(10) for k in range(2)] + [f"http://s.net/de/{i}" for i in range(20)]
+    us += [f"http://t.example.com/{x}/b/c/d/{i}" for x in ("en", "fr") for i in range(30)] + ["http://u.net/es/1", "http://u.net/de/1"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(us)] * 2, "page_id long, url string")
+    got = {r["page_id"]: r for r in rows(urls.judge(pages))}
+    of = lambda part: {(got[i]["template"], got[i]["verdict"]) for i, u in enumerate(us) if part in u}
+    assert of("s.net/es") == of("s.net/de") == {("/*variable/{number}", "block")}
+    assert {v for _, v in of("/about/")} == {"allow"}
+    assert of("t.example.com/en") & of("t.example.com/fr") == set()
+    assert of("u.net/de") == {("/*variable/{number}", "allow")}  # too little evidence
+    assert len(got) == len(us) and len(rows(urls.judge(pages))) == 2 * len(us)
+
+
 def test_urls_of_no_pages(spark):
     assert rows(urls.judge(spark.createDataFrame([], "page_id long, url string"))) == []
 
@@ -482,13 +496,14 @@ def test_line_frequency(spark, prose):
     for i in range(60):
         body = "\n".join(prose(12, 100 * i + k) for k in range(6))
         data.append((i, f"{body}\n{line}" if i < 40 else body, "h1"))
-    # a depleted document, copies of one text (not evidence of frequency), another host, nulls
+    # a depleted document, copies of one text (all but the first are depleted), another host, nulls
     data += [(100, f"{line}\n{prose(10, 7)}", "h1"), *[(200 + i, "\n".join(prose(20, 5000 + k) for k in range(4)), "h1") for i in range(50)], (300, f"{line}\n{prose(10, 8)}", "h2"), (400, None, None), (401, "", "h1"), (402, "a b c " * 40, "h1"), (100, f"{line}\n{prose(10, 7)}", "h1")]
     docs = spark.createDataFrame([(i, t, s, "clash", 1) for i, t, s in data], "doc_id long, text string, source string, host string, n long")
     got = rows(quality.judge(docs))
     assert len(got) == len(data)
     kept = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in got}
-    assert all(kept[i] == (False, True) for i in [*range(60), *range(200, 250), 300])
+    assert all(kept[i] == (False, True) for i in [*range(60), 200, 300])
+    assert all(kept[i] == (False, False) for i in range(201, 250))
     assert kept[100] == (False, False) and kept[400] == kept[401] == (True, False) and kept[402] == (True, False)
 
 
