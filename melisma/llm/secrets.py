@@ -1,15 +1,20 @@
 """Secret scans: fixed patterns, and automata inferred from the credentials that these find.
 
 The base patterns give labelled credentials. A bounded number of them for each kind (``SAMPLE``, those with the smallest
-hashes) are turned into strings of character classes and counted in a prefix tree; states whose next-symbol shares are
-statistically compatible (Hoeffding bounds, checked down the subtrees) are merged, in breadth-first order, into a
-probabilistic automaton. Every other token that could be a credential is scored with each automaton by its
-log-likelihood for each character against a class-bigram model of ordinary tokens (also from a bounded sample), and is
-reported when it exceeds the threshold of its automaton: the quantile of held-out credentials, but above all but a small
-share of ordinary tokens. Base spans stay; added ones have the kind ``grammar`` and never overlap a base span.
-
-Defined results: null and empty texts have no spans; texts are scanned whole, whatever their length; repeated rows give
-repeated output rows; without any labelled credential nothing is added; an empty table gives no rows.
+hashes, of up to ``LONGEST`` characters) are turned into strings of character classes and counted in a prefix tree. States
+are merged, in breadth-first order and into the most similar one, if they are statistically compatible: the shares of their
+next symbols and the distributions of the characters that are still to come agree within Hoeffding bounds, and so do those of
+all states below them, as far as bounds can tell anything. So an automaton keeps prefixes and lengths where the credentials
+have them, and loops where they have not.
+
+Every token that the automata's alphabets and lengths admit is scored with each automaton by its log-likelihood for each
+character against a class-bigram model of ordinary tokens (also from a bounded sample), and is reported when it exceeds the
+threshold of its automaton: the least margin of all but a twentieth of held-out credentials (of all, where there are few), but above all but a
+small share of ordinary tokens. Base spans stay; added ones have the kind ``grammar`` and never overlap a base span.
+
+Defined results: null and empty texts have no spans; texts are scanned whole, whatever their length; of equally similar
+states the first takes a merge; repeated rows give repeated output rows; without any labelled credential nothing is added;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from melisma.llm.common import Out, rows_of, table, texts
@@ -29,10 +34,10 @@ from melisma.llm.common import Out, rows_of, table, texts
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
-#: A token that may be a credential: long, with letters and digits.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
-SAMPLE, ALPHA, MIN_COUNT, MIN_LABELLED = 1500, 0.05, 8, 20
-_START, _END = "^", "$"
+#: Runs of the characters that credentials consist of; shorter ones than any labelled value are no candidates.
+TOKEN = r"[A-Za-z0-9+/_=.-]"
+SAMPLE, LONGEST, ALPHA, FEWEST, ORDINARY_SHARE = 1500, 256, 0.05, 12, 0.005
+_START, _END, _TRIM = "^", "$", ".-=/+_"
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -60,28 +65,49 @@ class Automaton:
     def __init__(self, strings: list[str], alpha: float = ALPHA):
         nxt: list[dict[str, int]] = [{}]
         out: list[Counter] = [Counter()]
+        left: list[Counter] = [Counter()]  # characters still to come
+        depth = [0]
         for s in strings:
             q = 0
-            for c in s:
+            for i, c in enumerate(s):
                 out[q][c] += 1
+                left[q][len(s) - i] += 1
                 if c not in nxt[q]:
                     nxt[q][c] = len(nxt)
                     nxt.append({})
                     out.append(Counter())
+                    left.append(Counter())
+                    depth.append(i + 1)
                 q = nxt[q][c]
             out[q][_END] += 1
+            left[q][0] += 1
         bound = math.sqrt(0.5 * math.log(2 / alpha))
 
-        def agree(a: int, b: int, depth: int = 0) -> bool:
-            na, nb = out[a].total(), out[b].total()
-            if not na or not nb:
-                return True
-            reach = bound * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
-            if any(abs(out[a][c] / na - out[b][c] / nb) > reach for c in out[a].keys() | out[b].keys()):
-                return False
-            if depth >= 12 or min(na, nb) < MIN_COUNT:
-                return True
-            return all(agree(nxt[a][c], nxt[b][c], depth + 1) for c in nxt[a].keys() & nxt[b].keys())
+        def apart(a: Counter, b: Counter) -> float:
+            """The greatest difference of two cumulative distributions."""
+            na, nb, x, y, most = a.total(), b.total(), 0, 0, 0.0
+            for k in sorted(a.keys() | b.keys()):
+                x, y = x + a[k], y + b[k]
+                most = max(most, abs(x / na - y / nb))
+            return most
+
+        def compatible(a: int, b: int) -> float | None:
+            """How far the states are apart, null if they or any states below them are too far."""
+            own, todo = apart(left[a], left[b]), [(a, b)]
+            done = set()
+            while todo:
+                pair = a, b = todo.pop()
+                if pair in done or a == b:
+                    continue
+                done.add(pair)
+                na, nb = out[a].total(), out[b].total()
+                reach = bound * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
+                if reach >= 1:  # no difference could be told, here or below
+                    continue
+                if apart(left[a], left[b]) > reach or any(abs(out[a][c] / na - out[b][c] / nb) > reach for c in out[a].keys() | out[b].keys()):
+                    return None
+                todo += [(nxt[a][c], nxt[b][c]) for c in nxt[a].keys() & nxt[b].keys()]
+            return own
 
         def fold(a: int, b: int) -> None:
             todo = [(a, b)]
@@ -90,41 +116,44 @@ class Automaton:
                 if a == b:
                     continue
                 out[a].update(out[b])
+                left[a].update(left[b])
                 for c, t in nxt[b].items():
                     if c in nxt[a]:
                         todo.append((nxt[a][c], t))
                     else:
                         nxt[a][c] = t
 
-        red, blue = [0], [(0, c) for c in sorted(nxt[0])]
-        while blue:
-            p, c = blue.pop(0)
+        red, kept = [0], {0}
+        while True:
+            blue = [(depth[nxt[q][c]], -out[nxt[q][c]].total(), q, c) for q in red for c in nxt[q] if nxt[q][c] not in kept]
+            if not blue:
+                break
+            *_, p, c = min(blue)
             t = nxt[p][c]
-            if t in red:
-                continue
-            for r in red:
-                if agree(r, t):
-                    nxt[p][c] = r
-                    fold(r, t)
-                    break
+            near = [(d, i) for i, r in enumerate(red) if (d := compatible(r, t)) is not None]
+            if near:
+                r = red[min(near)[1]]
+                nxt[p][c] = r
+                fold(r, t)
             else:
                 red.append(t)
-            kept = set(red)
-            blue = [(q, x) for q in red for x in sorted(nxt[q]) if nxt[q][x] not in kept]
+                kept.add(t)
         number = {q: i for i, q in enumerate(red)}
         self.next = [{c: number[t] for c, t in nxt[q].items() if t in number} for q in red]
         symbols = len({c for q in red for c in out[q]}) + 1
         self.log = [{c: math.log((n + 0.1) / (out[q].total() + 0.1 * symbols)) for c, n in out[q].items()} for q in red]
         self.unseen = [math.log(0.1 / (out[q].total() + 0.1 * symbols)) for q in red]
+        #: Where most strings go on from a state; a symbol never seen there goes the same way.
+        self.usual = [max(((out[q][c], -number[t]) for c, t in nxt[q].items() if t in number), default=(0, 1))[1] for q in red]
 
     def score(self, s: str) -> float:
-        """Log-likelihood of the classes and the end; -inf where the automaton has no transition."""
+        """Log-likelihood of the classes and the end; -inf where no string goes on."""
         q, total = 0, 0.0
         for c in s:
-            if c not in self.next[q]:
+            if self.usual[q] > 0:
                 return -math.inf
             total += self.log[q].get(c, self.unseen[q])
-            q = self.next[q][c]
+            q = self.next[q].get(c, -self.usual[q])
         return total + self.log[q].get(_END, self.unseen[q])
 
 
@@ -148,25 +177,52 @@ class Grammar:
 
     def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
         self.plain = Ordinary([classes(t) for t in ordinary])
-        self.models: list[tuple[Automaton, float]] = []
+        self.models: list[tuple[Automaton, float, frozenset[str], range]] = []
+        self.known: dict[str, bool] = {}
+        other_classes = [classes(t) for t in ordinary]
         for kind in sorted(labelled):
-            strings = [classes(t) for t in labelled[kind]]
-            if len(strings) < MIN_LABELLED:
+            strings = [classes(t.rstrip(".")) for t in labelled[kind]]
+            strings = [s for s in strings if s]
+            if not strings:
                 continue
-            held = strings[::4]
-            model = Automaton([s for i, s in enumerate(strings) if i % 4])
-            own = sorted(self._margin(model, s) for s in held)
-            other = sorted(self._margin(model, classes(t)) for t in ordinary if len(t) >= 16)
-            low, high = own[len(own) // 20], other[-max(1, len(other) // 1000)] if other else -math.inf
+            few = len(strings) < FEWEST
+            model = Automaton(strings if few else [s for i, s in enumerate(strings) if i % 4])
+            own = sorted(self._margin(model, s) for s in (strings if few else strings[::4]))
+            lengths = range(min(map(len, strings)), max(map(len, strings)) + 1)
+            other = sorted(self._margin(model, s) for s in other_classes if len(s) in lengths)
+            low, high = own[len(own) // 20], other[-1 - int(len(other) * ORDINARY_SHARE)] if other else -math.inf
             if low > -math.inf:
-                self.models.append((model, max(low, high, 0.2)))
+                self.models.append((model, max(low, math.nextafter(max(high, 0.2), math.inf)), frozenset("".join(strings)), lengths))
+        shortest = min((m[-1].start for m in self.models), default=None)
+        #: Finds the candidates; null if there is no model.
+        self.candidate = shortest and re.compile(f"{TOKEN}{{{shortest},}}")
+        self.longest = max((m[-1].stop for m in self.models), default=0)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "known": {}}
 
     def _margin(self, model: Automaton, s: str) -> float:
         return (model.score(s) - self.plain.score(s)) / (len(s) + 1)
 
     def accepts(self, token: str) -> bool:
         s = classes(token)
-        return any(self._margin(m, s) > least for m, least in self.models)
+        if s not in self.known:
+            if len(self.known) >= 1 << 16:
+                self.known.clear()
+            self.known[s] = any(len(s) in lengths and alphabet.issuperset(s) and self._margin(m, s) >= least for m, least, alphabet, lengths in self.models)
+        return self.known[s]
+
+    def found(self, text: str) -> Iterator[tuple[int, int]]:
+        """Start and end of the tokens that are accepted, as they stand or without signs at their ends."""
+        for m in self.candidate.finditer(text) if self.candidate else ():
+            if len(m[0]) >= self.longest + 16:
+                continue
+            bare = m[0].strip(_TRIM)
+            for token in dict.fromkeys((m[0], m[0].rstrip("."), bare)):
+                if token and self.accepts(token):
+                    start = m.start() + m[0].find(token)
+                    yield start, start + len(token)
+                    break
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +238,11 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (text,) in rows_of(batches, "text"):
         found = base_spans(text)
         for _, k, _, secret in found:
-            if len(secret) <= 256:
+            if len(secret) <= LONGEST:
                 offer(KINDS[k], secret)
         secret = {s for *_, s in found}
         for t in text.split()[:: 97]:
-            if t not in secret and t.isascii() and len(t) <= 256:
+            if t not in secret and t.isascii() and len(t) <= LONGEST:
                 offer("plain", t)
     out = Out(pa.schema([("kind", pa.string()), ("h", pa.int64()), ("token", pa.string())]))
     for kind, kept in best.items():
@@ -197,10 +253,11 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame) -> Grammar:
     """Reads all texts; at most ``SAMPLE`` distinct strings of each kind come to the driver."""
-    from pyspark.sql import Window
-
-    seen = texts(docs).select("text").mapInArrow(_labelled, "kind string, h long, token string").distinct()
-    ranked = seen.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("h"))).where(F.col("r") <= SAMPLE)
+    least = texts(docs).select("text").mapInArrow(_labelled, "kind string, h long, token string").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
+    # the smallest of some partitions each, then of all, so that no task gets the strings of every partition
+    for keys in (["kind", "part"], ["kind"]):
+        least = least.dropDuplicates([*keys, "h"]).withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("r") <= SAMPLE)
+    ranked = least
     labelled: dict[str, list[str]] = defaultdict(list)
     for kind, token in ranked.select("kind", "token").orderBy("kind", "r").collect():
         labelled[kind].append(token)
@@ -213,21 +270,15 @@ def all_spans(text: str, grammar: Grammar) -> tuple[list[tuple[int, int, int, st
     spans = [(a, KINDS[k], b) for a, k, b, _ in base]
     covered, more = sorted((a, b) for a, _, b in spans), []
     at = 0
-    for m in CANDIDATE.finditer(text):
-        token = m[0].strip(".-=/+_")
-        start = m.start() + m[0].find(token) if token else m.start()
-        if len(token) < 16 or not any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
-            continue
+    for start, end in grammar.found(text):
         while at < len(covered) and covered[at][1] <= start:
             at += 1
         clash, i = False, at
-        while not clash and i < len(covered) and covered[i][0] < start + len(token):
+        while not clash and i < len(covered) and covered[i][0] < end:
             clash = covered[i][1] > start
             i += 1
-        if clash:
-            continue
-        if grammar.accepts(token):
-            more.append((start, "grammar", start + len(token)))
+        if not clash:
+            more.append((start, "grammar", end))
     order = {k: i for i, k in enumerate((*KINDS, "grammar"))}
     both = sorted([*spans, *more], key=lambda x: (x[0], order[x[1]], x[2]))
     return base, [(a, b, k) for a, k, b in both]

@@ -65,6 +65,36 @@ def test_automaton_merges_states_and_scores_format():
     assert a.score(secrets.classes(make())) > a.score(secrets.classes("AKabcdefabcdef")) and secrets.Automaton([]).next == [{}]
 
 
+def test_automata_keep_lengths_and_prefixes_and_loops():
+    r = random.Random(4)
+    make = lambda start, chars, n: start + "".join(r.choice(chars) for _ in range(n))
+    score = lambda a, t: a.score(secrets.classes(t)) / (len(t) + 1)
+    for n in (400, 12):  # many labels or few
+        keys = [make("", "0123456789abcdef", 32) for _ in range(n)]
+        a = secrets.Automaton([secrets.classes(t) for t in keys])
+        assert len(a.next) == 33
+        assert all(score(a, keys[0][:k]) < score(a, keys[0]) for k in (8, 16, 31)) and score(a, keys[0] + "a") == -math.inf
+    a = secrets.Automaton([secrets.classes(make("AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16)) for _ in range(400)])
+    assert len(a.next) == 21
+    # lengths that tell nothing of what is to come make a loop
+    a = secrets.Automaton([secrets.classes(make("x", "01", 1 + int(r.expovariate(0.1)))) for _ in range(400)])
+    assert len(a.next) <= 6
+
+
+def test_formats_are_found_among_others(make, prose):
+    r = random.Random(2)
+    live = lambda: "sk_live_" + "".join(r.choice("abcxyzABCXYZ0123456789") for _ in range(24))
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(20))
+    texts = [f"{prose(60, i)} api_key = '{live()}' {prose(20, i + 700)}" for i in range(10)]
+    texts += [f"{prose(60, i + 100)} {live()} {prose(20, i + 900)}" for i in range(20)]
+    texts += [f"{prose(60, i + 200)} {word()} sk_live_ sk_live_abc {live()[:-5]}" for i in range(20)]
+    texts += [prose(30_000, 9) + " " + live() + " " + prose(10, 3), live() + "."]
+    got = {x["doc_id"]: x for x in rows(secrets.scan(make(texts)))}
+    assert sum(len(got[i]["spans"]) for i in range(10, 30)) >= 18
+    assert all(not got[i]["spans"] for i in range(30, 50))
+    assert got[50]["spans"] and (got[51]["spans"][0]["start"], got[51]["spans"][0]["end"]) == (0, 32)
+
+
 def test_masking_keeps_columns_and_nulls(make):
     d = make(["password=abcdef123 ok", None, "clean text"])
     out = {r["doc_id"]: r["text"] for r in rows(secrets.mask(d))}
