@@ -275,6 +275,40 @@ def test_passages_join_documents(make, corpus):
     assert len({got[i] for i in (3, 24, 25)}) == 1 and got[32] == got[33]
 
 
+def classes_of(make, texts):
+    return {r["doc_id"]: r["class_id"] for r in rows(passages.near_duplicate_passages(make(texts)))}
+
+
+def test_pairs_that_share_a_line_with_all_others(make, prose):
+    line = prose(40, 77)
+    texts = []
+    for i in range(150):
+        before, after = prose(5, 10_000 + i), prose(5, 20_000 + i)
+        texts += [f"{prose(80, 3 * i + k)} {before} {line} {after} {prose(70, 5000 + 3 * i + k)}" for k in range(2)]
+    got = classes_of(make, texts)
+    assert sum(got[2 * i] == got[2 * i + 1] for i in range(150)) >= 147
+    assert len(set(got.values())) >= 150  # the line alone joins nothing
+
+
+@pytest.mark.parametrize("n", [20, 600])
+def test_passages_that_differ_from_one_in_the_middle(make, prose, n):
+    r, base, texts = random.Random(8), prose(50, 55).split(), []
+    for i in range(n):
+        w = list(base)
+        if i != n // 2:
+            w[r.randrange(50)] = f"q{i}"
+        texts.append(f"{prose(60, 100 + i)} {' '.join(w)} {prose(60, 9000 + i)}")
+    got = classes_of(make, texts)
+    mid = passages.shingles(" ".join(base)).tolist()
+    true = [i for i, t in enumerate(texts) if i != n // 2 and jaccard(mid, passages.shingles(" ".join(t.split()[60:110])).tolist()) >= 0.8]
+    assert len(true) > 0.9 * (n - 1)
+    assert sum(got[i] == got[n // 2] for i in true) >= 0.95 * len(true)
+
+
+def jaccard(a, b):
+    return len(set(a) & set(b)) / len(set(a) | set(b))
+
+
 # --- language ----------------------------------------------------------------------
 
 
