@@ -5,14 +5,16 @@ Conventions that hold for every operator here:
 * Only the columns an operator names are read; further columns, whatever they are called, are ignored.
 * Rows whose id is null cannot be addressed by a result and are left out.
 * A null text counts as an empty one unless the operator says otherwise.
-* Intermediate tables are Parquet files in the shared folder named by ``spark.checkpoint.dir``; a local folder is
-  used only where that setting is absent.
+* Intermediate tables are Parquet files in the shared folder named by ``spark.checkpoint.dir``. Without that setting a
+  folder of this machine is used if the master is local; on a cluster it is an error. They go when the driver ends.
+* Two limits of Arrow batches are set in the session of the documents (``tune``) and stay set, as results are lazy.
 """
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 import zlib
@@ -61,6 +63,8 @@ def id_crc_column(doc_id: str = "doc_id") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="melisma-")
         shared_dir.own = base
     return base.rstrip("/")
@@ -76,6 +80,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(key, before)
     _made.append((spark, path))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)  # also if the session is stopped
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,13 +14,17 @@ Equal groups are exactly the repeated windows (digits are compared by 64- and 96
 smallest document of a group before the shuffle, so a passage in very many documents costs a record for each chunk of
 input. Keys travel as packed ranges; their number and the number of groups of documents follow the input size.
 
-Defined results: null text is empty; documents shorter than T bytes lose nothing; matches never cross documents;
-repeats inside one document do not count; repeated rows (same id and text) each get the row of their document; an empty
-table gives no rows.
+Every suffix as a record of its own, with its bytes as digits, would be 1.6 records of 16 bytes or more for each byte of
+compressed input, beyond any disk limit; so a run of suffixes is one record, and digits are compared by hashes.
+
+Defined results: null text is empty; texts are read whole, in blocks that overlap by a window; documents shorter than T bytes lose nothing; matches never cross documents;
+repeats inside one document do not count; repeated rows (same id and text) each get the row of their document, of different texts with
+one id the first one that is met is compared; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,42 +38,42 @@ from melisma.llm.common import U64, Out, buckets_for, cut, from_planes, mix, pla
 T = 50
 #: Bytes of text whose records are sorted together before they are sent, and of a block of positions.
 CHUNK, BLOCK, PIECE = 4 << 20, 1 << 18, 1 << 15
-_BASE = U64(0x9E3779B97F4A7C55)
-_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 _SENT = "bucket long, keys binary, second binary, docs binary, lo binary, n binary"
 _SENT_ARROW = pa.schema([("bucket", pa.int64()), *((x, pa.binary()) for x in ("keys", "second", "docs", "lo", "n"))])
 _RUNS = "g long, kind long, docs binary, lo binary, n binary"
 
 
 class Rolling:
-    """Hashes of all substrings of a block by prefix sums of a polynomial modulo 2**64."""
+    """Hashes of all substrings of a block by prefix sums of a polynomial modulo 2**64 in an odd ``base``, which is drawn
+    anew for every run, so that no text can be made to collide."""
 
-    _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U64), np.ones(1, U64))
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, base: int):
         n = len(data)
-        if len(Rolling._powers[0]) < n + 1:
+        if base not in Rolling._powers or len(Rolling._powers[base][0]) < n + 1:
             m = max(n + 1, BLOCK + 4096)
             with np.errstate(over="ignore"):
-                Rolling._powers = tuple(np.concatenate([[U64(1)], np.cumprod(np.full(m, b, U64))]) for b in (_BASE, _INVERSE))
+                Rolling._powers = {base: tuple(np.concatenate([[U64(1)], np.cumprod(np.full(m, b, U64))]) for b in (base, pow(base, -1, 1 << 64)))}
+        self.up, self.down = Rolling._powers[base]
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate([[U64(0)], np.cumsum((data.astype(U64) + U64(1)) * Rolling._powers[0][:n])])
+            self.sums = np.concatenate([[U64(0)], np.cumsum((data.astype(U64) + U64(1)) * self.up[:n])])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix((self.sums[end] - self.sums[start]) * Rolling._powers[1][start])
+            return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
     def all(self, k: int) -> np.ndarray:
         with np.errstate(over="ignore"):
-            return mix((self.sums[k:] - self.sums[:-k]) * Rolling._powers[1][: len(self.sums) - k])
+            return mix((self.sums[k:] - self.sums[:-k]) * self.down[: len(self.sums) - k])
 
 
-def _runs(data: np.ndarray, valid: np.ndarray, t: int) -> tuple[np.ndarray, ...]:
+def _runs(data: np.ndarray, valid: np.ndarray, t: int, base: int) -> tuple[np.ndarray, ...]:
     """Anchor hash, span hash (32 bits), first window and number of windows of every run.
 
     valid: whether a window may start at a position (it does not cross a document)."""
     k, w = t // 2, t - t // 2 + 1
-    roll = Rolling(data)
+    roll = Rolling(data, base)
     a = roll.all(k)
     low = U64((1 << 20) - 1)
     m = (a & ~low) | np.arange(len(a), dtype=U64)
@@ -93,7 +97,7 @@ def _runs(data: np.ndarray, valid: np.ndarray, t: int) -> tuple[np.ndarray, ...]
     return mix(~a[where]), (span >> U64(32)).astype(np.uint32), lo, n
 
 
-def runs_of(items: list[tuple[int, bytes]], t: int) -> tuple[np.ndarray, ...]:
+def runs_of(items: list[tuple[int, bytes]], t: int, base: int) -> tuple[np.ndarray, ...]:
     """docs, anchor, span, lo, n of the runs of some documents; lo counts from the document's start."""
     out: list[tuple[np.ndarray, ...]] = []
     block: list[tuple[int, bytes, int]] = []
@@ -108,7 +112,7 @@ def runs_of(items: list[tuple[int, bytes]], t: int) -> tuple[np.ndarray, ...]:
             valid = np.ones(len(data), np.bool_)
             for s, n in zip(begin.tolist(), length.tolist(), strict=True):
                 valid[max(s, s + n - t + 1) : s + n] = False
-            a, c, lo, n = _runs(data, valid, t)
+            a, c, lo, n = _runs(data, valid, t, base)
             which = np.searchsorted(begin, lo, side="right") - 1
             ids, shift = np.array([i for i, _, _ in block], np.int64), np.array([p for _, _, p in block], np.int64)
             out.append((ids[which], a, c, lo - begin[which] + shift[which], n))
@@ -163,13 +167,13 @@ def _decided(out: Out, serial: int, docs, lo, n):
             yield out.take()
 
 
-def _first_pass(t: int, n_buckets: int):
+def _first_pass(t: int, n_buckets: int, base: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, items, size, serial = Out(_SENT_ARROW, rows=1000), [], 0, TaskContext.get().partitionId() * 1_000_003
 
         def flush():
             nonlocal size, serial
-            docs, a, c, lo, n = runs_of(items, t)
+            docs, a, c, lo, n = runs_of(items, t, base)
             by, _, least = _least(a, c, docs=docs)
             kept, rest = by[least], by[~least]
             yield from _send(out, n_buckets, a[kept], c[kept], docs[kept], lo[kept], n[kept])
@@ -242,7 +246,7 @@ def _runs_told(told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return docs[by], lo[by].astype(np.int64), n[by].astype(np.int64)
 
 
-def _second_pass(t: int, n_buckets: int):
+def _second_pass(t: int, n_buckets: int, base: int):
     def run(key: tuple, left: pa.Table, told: pa.Table) -> pa.Table:
         docs, lo, n = _runs_told(told)
         got: list[tuple[np.ndarray, ...]] = []
@@ -259,7 +263,7 @@ def _second_pass(t: int, n_buckets: int):
             while p < len(at):  # a block of the text at a time
                 first = at[p]
                 q = np.searchsorted(at, first + BLOCK)
-                roll, rel = Rolling(raw[first : at[q - 1] + t]), at[p:q] - first
+                roll, rel = Rolling(raw[first : at[q - 1] + t], base), at[p:q] - first
                 got.append((roll.of(rel, rel + t), np.full(q - p, doc_id, np.int64), at[p:q]))
                 p = q
         out, made = Out(_SENT_ARROW, rows=1 << 30, size=1 << 40), []
@@ -325,14 +329,14 @@ def remove_repeats(docs: DataFrame, t: int = T) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes of every document that has an id."""
     if t < 4:
         raise ValueError("t must be 4 at least")
-    n_buckets, groups = buckets_for(docs), _groups(docs)
+    n_buckets, groups, base = buckets_for(docs), _groups(docs), random.SystemRandom().getrandbits(64) | 5
     d = texts(docs)
-    sent = d.mapInArrow(_first_pass(t, n_buckets), _SENT)
+    sent = d.mapInArrow(_first_pass(t, n_buckets, base), _SENT)
     told = written(sent.groupBy("bucket").applyInArrow(_merge_first(groups), _RUNS), "runs")
     dealt = d.select("*", F.pmod("doc_id", F.lit(groups)).alias("g"))
     # only groups of documents that have something to compare are dealt out
     check = told.where("kind = 1")
-    windows = dealt.groupBy("g").cogroup(check.groupBy("g")).applyInArrow(_second_pass(t, n_buckets), _SENT)
+    windows = dealt.groupBy("g").cogroup(check.groupBy("g")).applyInArrow(_second_pass(t, n_buckets, base), _SENT)
     more = written(windows.groupBy("bucket").applyInArrow(_merge_second(groups), _RUNS), "windows")
     every = told.where("kind = 0").unionByName(more)
     return dealt.groupBy("g").cogroup(every.groupBy("g")).applyInArrow(_apply(t), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
