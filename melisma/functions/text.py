@@ -7,6 +7,8 @@ which Spark lacks and an Arrow-batched UDF supplies.
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 import unicodedata
 
 import pandas as pd
@@ -46,6 +48,19 @@ def unescape(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else html.unescape(t))
 
 
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([A-Za-z][A-Za-z0-9]*));")
+
+
+@F.pandas_udf(StringType())
+def unescape_closed(x: pd.Series) -> pd.Series:
+    """Character references resolved where a semicolon ends them."""
+
+    def one(m: re.Match) -> str:
+        return html.unescape(m[0]) if m[1] is None or m[1] + ";" in html.entities.html5 else m[0]
+
+    return x.map(lambda t: None if t is None else _CLOSED.sub(one, t))
+
+
 def fixed(x: Column, places: int, width: int = 0) -> Column:
     """Decimal places as text, right-aligned in ``width``, rounded by the exact binary value as C and Python do (Java
     rounds the decimal form); null for null and for what is no number."""
@@ -75,14 +90,16 @@ def trim_space(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(x, SPACE + "+", " "), "^ | $", "")
 
 
-def clean_text(x: Column) -> Column:
+def clean_text(x: Column, closed: bool = False) -> Column:
     """Composed text without footnotes, tags, section marks and invisible characters, with single spaces.
 
-    Footnotes and line breaks become a space, other tags vanish; references are resolved after the tags are gone."""
+    Footnotes and line breaks become a space, other tags vanish; references are resolved after the tags are gone, those
+    without a semicolon as in HTML 5 or, if ``closed``, not at all: a text cut inside a reference keeps what is left of it,
+    and the removed tags do not make it one with the letters that follow."""
     x = nfc(x)
     x = F.regexp_replace(x, '(?is)<sup[^>]*>.*?</sup>|<i\\s+class="footnote"[^>]*>.*?</i>', " ")
     x = F.regexp_replace(x, "(?i)<br\\s*/?>", " ")
-    x = unescape(F.regexp_replace(x, "<[^>]+>", ""))
+    x = (unescape_closed if closed else unescape)(F.regexp_replace(x, "<[^>]+>", ""))
     x = F.regexp_replace(x, "[{(]" + SPACE + "*[פס]" + SPACE + "*[})]", " ")
     x = F.regexp_replace(x, INVISIBLE, "")
     return trim_space(x)

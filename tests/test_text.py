@@ -33,6 +33,12 @@ def test_cleaning(spark, raw, clean):
     assert one(spark, raw, T.clean_text) == clean
 
 
+def test_references_without_a_semicolon(spark):
+    raw = "א&amp;&amp</h1><p>p &quo &copy; &am<b>p{</b> &notit; &#1489; &lt;i&gt;"
+    assert one(spark, raw, lambda x: T.clean_text(x, closed=True)) == "א&&ampp &quo © &amp{ &notit; ב <i>"
+    assert one(spark, raw, T.clean_text) == "א&&p &quo © &{ ¬it; ב <i>"
+
+
 def test_tokens_need_letters(spark):
     assert one(spark, "א ׀ ב־ג x", T.tokens) == ["א", "ב־ג"]
 
