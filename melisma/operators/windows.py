@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +13,7 @@ from melisma.functions import text as T
 
 MIN_SECONDS, PAD, STEP, TAIL, CUE = 8.0, 0.5, 0.02, 0.25, 0.3
 #: Guards of an alignment: samples of a frame, frames a token and in all, and the longest plausible word in seconds.
-FRAME, FRAMES_A_TOKEN, SPARE_FRAMES, LONGEST_WORD = 320, 1.1, 4, 12.0
+FRAME, FRAMES_A_TOKEN, SPARE_FRAMES, LONGEST_WORD = 320, Decimal("1.1"), 4, 12.0
 
 
 def base_windows(anchors: DataFrame, sizes: DataFrame, key: str = "rec_id", pad: float = PAD) -> DataFrame:
@@ -81,8 +82,11 @@ def weaker_side(left: Column, right: Column) -> Column:
 
 
 def guard_ok(samples: Column, tokens: Column, longest: Column) -> Column:
-    """Whether an aligned window is plausible: frames enough for its tokens, and no word of over 12 seconds."""
-    return (samples / FRAME >= tokens * FRAMES_A_TOKEN + SPARE_FRAMES) & (F.coalesce(longest, F.lit(0.0)) <= LONGEST_WORD)
+    """Whether an aligned window is plausible: frames enough for its tokens, and no word of over 12 seconds.
+
+    The frames that are needed are reckoned in decimals: 25 tokens need 31.5, which is less than 25 * 1.1 + 4 in binary."""
+    needed = (tokens * F.lit(FRAMES_A_TOKEN) + SPARE_FRAMES).cast("double")
+    return (samples / FRAME >= needed) & (F.coalesce(longest, F.lit(0.0)) <= LONGEST_WORD)
 
 
 Spans = list[tuple[float, float, float]]

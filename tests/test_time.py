@@ -158,6 +158,12 @@ def test_repairs():
     assert [(w["word_lo"], w["word_hi"]) for w, _, _ in left] == [(0, 10)]
 
 
+def test_guards_at_their_bounds(spark):
+    rows = [(n, frames * 320.0, longest, ok) for n, frames, longest, ok in [(25, 31.5, 1.0, True), (45, 53.5, None, True), (50, 59.0, 12.0, True), (25, 31.49, 1.0, False), (0, 4.0, 1.0, True), (50, 59.0, 12.01, False)]]
+    d = spark.createDataFrame(rows, "n long, samples double, longest double, ok boolean")
+    assert all(r["got"] == r["ok"] for r in d.select("ok", windows.guard_ok(F.col("samples"), F.col("n"), F.col("longest")).alias("got")).collect())
+
+
 def test_interpolation_and_stitching(spark):
     w = spark.createDataFrame([("r", 0.0, 10.0, 0, "אב"), ("r", 0.0, 10.0, 1, "אבגדהוזח")], R + "t_lo double, t_hi double, word_ix int, word string")
     got = windows.interpolate_words(w, ["rec_id"]).orderBy("word_ix").collect()
