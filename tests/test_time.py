@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import wave
 
 import pytest
@@ -65,6 +66,34 @@ def test_alignments():
     assert sorted(j for _, j, _ in far if j is not None) == list(range(700))
 
 
+def test_many_recordings_at_once():
+    r = random.Random(5)
+    words = ["", "ו", *("".join(r.choice("אבגדהוי") for _ in range(r.randint(1, 9))) for _ in range(60))]
+
+    def several(sizes):
+        return [[r.choice(words) for _ in range(r.choice(sizes))] for _ in range(120)]
+
+    def listed(heard, known, band):
+        out = {}
+        for which, size, i, j, s in align.align_lists(heard, known, band):
+            ends = size.cumsum().tolist()
+            for x, n, z in zip(which.tolist(), size.tolist(), ends, strict=True):
+                out[x] = [(None if a < 0 else a, None if b < 0 else b, c) for a, b, c in zip(*(v[z - n : z].tolist() for v in (i, j, s)), strict=True)]
+        return [out[x] for x in range(len(heard))]
+
+    for band in (align.BAND, 7, 3, 1):
+        heard, known = several([0, 1, 2, 6, 20, 40]), several([0, 1, 3, 7, 25, 90])
+        assert listed(heard, known, band) == [align.align_words(a, b, band) for a, b in zip(heard, known, strict=True)]
+    known = several([150])
+    heard = [x[3:60] + x[62:] for x in known]
+    listed(heard, known, 20)
+    start = time.perf_counter()
+    got = listed(heard, known, 250)
+    middle = time.perf_counter()
+    assert got == [align.align_words(a, b, 250) for a, b in zip(heard, known, strict=True)]
+    assert 2 * (middle - start) < time.perf_counter() - middle
+
+
 def test_anchor_filters():
     assert align.longest_increasing([1, 2, 99, 4, 5]) == [0, 1, 3, 4] and align.longest_increasing([]) == [] and align.longest_increasing([2, 1]) == [0]
     a = [{"ref": i, "start": t, "end": t + 0.4, "sim": s} for i, (t, s) in enumerate([(0, 0.9), (1, 0.9), (61, 0.86)])]
