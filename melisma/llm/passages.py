@@ -17,7 +17,9 @@ if they also agree in the eleven shingles to the left or to the right of it: two
   reaches out of the line. Stretches of up to ``SMALL`` windows are paired all with all; in larger ones every window meets
   the first, its predecessor, and the one that shares most large stretches with others. What verified links then leave in
   different classes of a large group is compared with the best linked document of each of the two largest classes of
-  the group, such as the original of many passages that differ from it in a word each, as long as this joins classes.
+  the group, such as the original of many passages that differ from it in a word each, as long as this joins classes;
+* what is still in different classes of a large group is compared in full, in blocks, so that every two windows of a group
+  end in one class or have been compared.
 
 A region of a document is a candidate when the windows of ``NEED`` functions meet in it (a stabbing join of their
 intervals). For each pair of documents and alignment the place where most windows meet is verified on the shingles around
@@ -42,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from melisma.llm.common import LOWER, U64, Out, blobs, buckets_for, cut, from_planes, mix, planes, rows_of, table, texts, written
+from melisma.llm.common import LOWER, U64, Out, blobs, buckets_for, cut, forget, from_planes, mix, planes, rows_of, table, texts, written
 from melisma.llm.components import components
 
 SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
@@ -52,6 +54,10 @@ LAID, STEP = 31, 5
 REACH = LAID - 1
 _OVER = range(0, LAID, STEP)
 _WIDE = [f"w{a}" for a in _OVER]
+#: Windows of a large group in one block, and of a shingle that a block's rare shingles have at most.
+MEMBERS, RARE = 1 << 15, 16
+#: Documents, at most, whose ids are sent to all texts to pick theirs.
+FEW = 100_000
 #: Rounds, at most, in which the best linked documents of the two largest classes of a large group meet the rest.
 ROUNDS = 8
 #: Marks a link of equal passages in its function's number.
@@ -519,15 +525,28 @@ def _groups(docs: DataFrame) -> int:
     return n
 
 
-def _shown(asked: DataFrame, dealt: DataFrame, groups: int) -> DataFrame:
-    """m, r, first_word and similarity of the verified ones of the asked places (m, cm, r, cr)."""
+def _around(places: DataFrame, dealt: DataFrame) -> DataFrame:
+    """The shingles around the places (d, c, g), as a table. Only the texts that are asked for travel, if they are few."""
+    places = written(places, "places")
+    ids = places.select(F.col("d").alias("doc_id")).distinct()
+    if ids.count() <= FEW:
+        dealt = dealt.join(F.broadcast(ids), "doc_id", "left_semi")
+    out = written(dealt.groupBy("g").cogroup(places.groupBy("g")).applyInArrow(_contexts, "d long, c long, before long, ctx binary"), "contexts")
+    forget(places)
+    return out
+
+
+def _shown(asked: DataFrame, dealt: DataFrame, groups: int, name: str, also: DataFrame | None = None) -> DataFrame:
+    """m, r, first_word and similarity of the verified ones of the asked places (m, cm, r, cr), and ``also``, as a table."""
     places = asked.select(F.col("m").alias("d"), F.col("cm").alias("c")).unionByName(asked.select(F.col("r").alias("d"), F.col("cr").alias("c"))).distinct()
-    places = places.select("*", F.pmod("d", F.lit(groups)).alias("g"))
-    ctx = written(dealt.groupBy("g").cogroup(places.groupBy("g")).applyInArrow(_contexts, "d long, c long, before long, ctx binary"), "contexts")
+    ctx = _around(places.select("*", F.pmod("d", F.lit(groups)).alias("g")), dealt)
     member = ctx.select(F.col("d").alias("m"), F.col("c").alias("cm"), "before", F.col("ctx").alias("am"))
     known = ctx.select(F.col("d").alias("r"), F.col("c").alias("cr"), F.col("before").alias("before_r"), F.col("ctx").alias("ar"))
     both = asked.join(member, ["m", "cm"]).join(known, ["r", "cr"])
-    return both.mapInArrow(_verified, "m long, r long, first_word long, similarity double")
+    shown = both.mapInArrow(_verified, "m long, r long, first_word long, similarity double")
+    shown = written(shown if also is None else also.unionByName(shown), name)
+    forget(ctx)
+    return shown
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -539,12 +558,14 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = sent.groupBy("bucket").applyInArrow(_merge(groups), _TOLD)
     told = written(told, "told")
     candidates = written(told.where("g >= 0").groupBy("g").applyInArrow(_candidates, "m long, cm long, r long, cr long, rank long"), "candidates")
+    crowd = written(told.where("g < 0").select("r", "m", "cm", "k").mapInArrow(_members, "gid long, d long, c long, k long"), "crowd")
+    forget(told)
     dealt = d.select("*", F.pmod("doc_id", F.lit(groups)).alias("g"))
     sure = candidates.where("rank = -1").select("m", "r", F.greatest(F.lit(0), F.col("cm") - REACH).alias("first_word"), F.lit(1.0).alias("similarity"))
-    found = written(sure.unionByName(_shown(candidates.where("rank = 0").select("m", "cm", "r", "cr"), dealt, groups)), "links")
+    found = _shown(candidates.where("rank = 0").select("m", "cm", "r", "cr"), dealt, groups, "links", sure)
     parts = written(components(found.select(F.col("r").alias("a"), F.col("m").alias("b"))), "parts")
     asked, tried = candidates.where("rank = 1").select("m", "cm", "r", "cr"), _cells(candidates.where("rank = 0")).drop("cm", "cr")
-    members = written(told.where("g < 0").select("r", "m", "cm", "k").mapInArrow(_members, "gid long, d long, c long, k long").groupBy("gid", "d", "k").agg(F.min("c").alias("c")), "members")
+    members = written(crowd.groupBy("gid", "d", "k").agg(F.min("c").alias("c")), "members")
     met = None
     for _ in range(ROUNDS):
         known = _known(members, parts, found)
@@ -556,21 +577,29 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rest = written(rest.join(tried, _CELL, "left_anti"), "rest")
         if rest.isEmpty():
             break
-        more = written(_shown(rest.select("m", "cm", "r", "cr"), dealt, groups), "more")
+        more = _shown(rest.select("m", "cm", "r", "cr"), dealt, groups, "more")
         if more.isEmpty():
             break
-        # the classes that are joined get one root; all others stay as they are
-        joined = components(_rooted(_rooted(more.select("m", "r").distinct(), parts, "m"), parts, "r").select(F.col("of_m").alias("a"), F.col("of_r").alias("b")))
-        single = more.select(F.explode(F.array("m", "r")).alias("node")).distinct().join(parts, "node", "left_anti").select("node", F.col("node").alias("root"))
-        renamed = joined.select(F.col("node").alias("root"), F.col("root").alias("least"))
-        parts = written(parts.unionByName(single).join(renamed, "root", "left").select("node", F.coalesce("least", "root").alias("root"), F.col("least").isNotNull().alias("changed")), "parts")
+        parts = written(_joined(parts, more), "parts")
         # only groups that a joined class has members in can have other hubs than before
         touched = members.join(parts.where("changed").select(F.col("node").alias("d")), "d", "left_semi").select("gid").distinct()
         members, parts, found = written(members.join(touched, "gid", "left_semi"), "members"), parts.drop("changed"), found.unionByName(more)
         asked, tried = asked.limit(0), tried.unionByName(rest.select(*_CELL))
+    forget(candidates)
+    more = _remaining(crowd, parts, dealt, groups)
+    if not more.isEmpty():
+        parts, found = written(_joined(parts, more).drop("changed"), "parts"), found.unionByName(more)
     return found, parts
 
 
+def _joined(parts: DataFrame, more: DataFrame) -> DataFrame:
+    """The classes after further links; those that are joined get one root and are marked, all others stay as they are."""
+    joined = components(_rooted(_rooted(more.select("m", "r").distinct(), parts, "m"), parts, "r").select(F.col("of_m").alias("a"), F.col("of_r").alias("b")))
+    single = more.select(F.explode(F.array("m", "r")).alias("node")).distinct().join(parts, "node", "left_anti").select("node", F.col("node").alias("root"))
+    renamed = joined.select(F.col("node").alias("root"), F.col("root").alias("least"))
+    return parts.unionByName(single).join(renamed, "root", "left").select("node", F.coalesce("least", "root").alias("root"), F.col("least").isNotNull().alias("changed"))
+
+
 _CELL = ["m", "r", "shift", "cell"]
 
 
@@ -616,6 +645,113 @@ def _meetings(known: DataFrame, hubs: DataFrame) -> DataFrame:
     return _cells(pairs.select("m", "r", F.explode("at").alias("x")).select("m", "r", "x.cm", "x.cr"))
 
 
+def _remaining(crowd: DataFrame, parts: DataFrame, dealt: DataFrame, groups: int) -> DataFrame:
+    """m, r, first_word, similarity of links between windows of one large group whose documents are in different classes,
+    as a table.
+
+    The windows outside a group's most frequent class meet all of the group, in blocks of both, so that every two windows
+    are in one class in the end or have been compared (see ``_across``)."""
+    known = _rooted(crowd.select("gid", "d", "c").distinct(), parts, "d")
+    by_root = known.groupBy("gid", "of_d").agg(F.count("*").alias("n"))
+    group = by_root.groupBy("gid").agg(F.count("*").alias("roots"), F.max(F.struct("n", "of_d")).alias("top"), F.sum("n").alias("n")).where("roots > 1")
+    blocks = [F.ceil(n / MEMBERS).cast("int").alias(name) for n, name in ((F.col("n"), "of_all"), (F.col("n") - F.col("top.n"), "of_few"))]
+    met = written(known.join(group.select("gid", F.col("top.of_d").alias("top"), *blocks), "gid"), "crowds")
+    few, alone = F.col("of_d") != F.col("top"), F.col("of_all") == 1
+
+    def deal(x: DataFrame, role, own: str, other: str) -> DataFrame:
+        mine, others = F.pmod(F.xxhash64("d", "c"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return x.select("gid", "d", "c", "of_d", few.alias("few"), role.alias("role"), mine.alias(own), others.alias(other))
+
+    # a group of one block is sent once, with both roles
+    both = deal(met, F.when(few & alone, 2).otherwise(0), "of_all", "of_few").unionByName(deal(met.where(few & ~alone), F.lit(1), "of_few", "of_all"))
+    ctx = _around(met.select("d", "c").distinct().withColumn("g", F.pmod("d", F.lit(groups))), dealt)
+    more = written(both.join(ctx, ["d", "c"]).groupBy("gid", "of_few", "of_all").applyInArrow(_across, "m long, r long, first_word long, similarity double"), "more")
+    forget(ctx)
+    return more
+
+
+def _probes(held: np.ndarray) -> np.ndarray:
+    """Which shingles of some contexts are looked up, by how many windows hold them: of T in a row, at least as many as
+    may be missing in a passage or, by words moved, beyond the ends of its counterpart, and one more, the rarest."""
+    least = T - int(np.ceil(2 * T * SIMILARITY / (1 + SIMILARITY) - 1e-9)) + SLACK + 1
+    rare = held <= RARE
+    total = np.pad(np.cumsum(rare, axis=1, dtype=np.int16), ((0, 0), (1, 0)))
+    row, start = np.nonzero(total[:, T:] - total[:, :-T] < least)
+    out = rare.copy()
+    for i in range(0, len(row), 1 << 14):
+        r, at = row[i : i + (1 << 14), None], start[i : i + (1 << 14), None] + np.arange(T)
+        best = np.argpartition(held[r, at], least - 1, axis=1)[:, :least]
+        out[r, np.take_along_axis(at, best, axis=1)] = True
+    return out
+
+
+def _across(group: pa.Table) -> pa.Table:
+    """Links between the few and all windows of a block whose classes differ, as far as they join classes.
+
+    Of T places in a row a passage and its counterpart agree in all but a few, up to SLACK, so one of any few more that
+    are looked up is common to both: windows that share none of the rarest need no closer look. All others are verified, but
+    for those that a link has brought into one class by then."""
+    role, ids, c, before = (group[x].to_numpy() for x in ("role", "d", "c", "before"))
+    few = group["few"].to_numpy(zero_copy_only=False).astype(np.bool_)
+    parts = blobs(group["ctx"], np.uint32)
+    n, width = len(ids), 2 * AROUND + 1
+    size = np.array([len(x) for x in parts], np.int64)
+    row = np.repeat(np.arange(n), size)
+    place = (AROUND - before)[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    value = np.unique(np.concatenate([*parts, np.zeros(0, np.uint32)]), return_inverse=True)[1]
+    matrix = np.full((n, width), value.max(initial=-1) + 1, np.int64)
+    matrix[row, place] = value
+    # the places of every shingle in all windows of the block
+    own = role[row] != 1
+    by = np.argsort(value[own], kind="stable")
+    at_row, at_place = row[own][by], place[own][by]
+    count = np.bincount(value[own], minlength=int(value.max(initial=-1)) + 2)
+    first = np.cumsum(count) - count
+    roots, root = np.unique(group["of_d"].to_numpy(), return_inverse=True)
+    least = np.arange(len(roots))
+
+    def label(x: int) -> int:
+        while least[x] != x:
+            least[x] = least[least[x]]
+            x = int(least[x])
+        return x
+
+    rows: list[tuple[int, int, int, float]] = []
+
+    def look(a: np.ndarray, b: np.ndarray) -> None:
+        for i in range(0, len(a), 1 << 12):
+            now = np.array([label(x) for x in range(len(roots))])[root] if rows else root
+            x, y = a[i : i + (1 << 12)], b[i : i + (1 << 12)]
+            apart = (now[x] != now[y]) & (ids[x] != ids[y])
+            x, y = x[apart], y[apart]
+            m, r = np.where(ids[x] > ids[y], x, y), np.where(ids[x] > ids[y], y, x)
+            j, start = verify([parts[k] for k in m], before[m], [parts[k] for k in r], before[r])
+            for k in np.nonzero(j >= SIMILARITY)[0].tolist():
+                u, v = label(int(root[m[k]])), label(int(root[r[k]]))
+                if u != v:
+                    least[max(u, v)] = min(u, v)
+                    rows.append((int(ids[m[k]]), int(ids[r[k]]), int(c[m[k]] - before[m[k]] + start[k]), float(j[k])))
+
+    asking = np.nonzero(role > 0)[0]
+    for i in range(0, len(asking), 1 << 10):
+        mine = asking[i : i + (1 << 10)]
+        held = count[matrix[mine]]
+        r, p = np.nonzero(_probes(held) & (held > 0))
+        many = held[r, p]
+        # a bounded number of meetings at a time
+        cuts = np.nonzero(np.diff(np.cumsum(many) // (1 << 22), prepend=0))[0].tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, len(r)], strict=True):
+            k = many[lo:hi]
+            s = np.repeat(np.arange(lo, hi), k)
+            at = first[matrix[mine[r[s]], p[s]]] + np.arange(len(s)) - np.repeat(np.cumsum(k) - k, k)
+            x, y = mine[r[s]], at_row[at]
+            ok = (np.abs(at_place[at] - p[s]) <= SLACK) & (root[x] != root[y]) & (~few[y] | (ids[x] > ids[y]))
+            pair = np.unique(x[ok] * n + y[ok])
+            look(pair // n, pair % n)
+    cols = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.table({"m": pa.array(cols[0], pa.int64()), "r": pa.array(cols[1], pa.int64()), "first_word": pa.array(cols[2], pa.int64()), "similarity": pa.array(cols[3], pa.float64())})
+
+
 def near_duplicate_passages(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest id of the documents joined by shared passages), n_links (other documents with which a
     passage of the document has been verified), first_word and similarity of the document's best link to a smaller document

@@ -290,6 +290,35 @@ def test_pairs_that_share_a_line_with_all_others(make, prose):
     assert len(set(got.values())) >= 150  # the line alone joins nothing
 
 
+def crossed(prose, n=10):
+    """Pairs of texts that share fifty words but for one in the middle, each half of which stands in 2 n texts."""
+    r, line = random.Random(12), prose(38, 78).split()
+    texts = []
+    for i in range(n):
+        for j in range(n):
+            for k in range(2):
+                own = [*line[:19], f"q{i}x{j}", *line[20:]] if k else line
+                texts.append((i * n + j, f"{prose(70, 60_000 + len(texts))} {' '.join([*(f'b{i}x{x}' for x in range(6)), *own, *(f'a{j}x{x}' for x in range(6))])} {prose(70, 70_000 + len(texts))}"))
+    r.shuffle(texts)
+    return [p for p, _ in texts], [t for _, t in texts]
+
+
+def test_pairs_alike_only_to_each_other_in_large_groups(make, prose):
+    pair, texts = crossed(prose)
+    got = classes_of(make, texts)
+    of = [{got[d] for d, p in enumerate(pair) if p == x} for x in range(100)]
+    assert sum(len(x) == 1 for x in of) >= 99
+    assert len(set(got.values())) >= 100  # a half alone joins nothing
+
+
+def test_blocks_of_large_groups(monkeypatch, make, prose):
+    """The same classes whether the windows of a large group meet in one block or in many."""
+    _, texts = crossed(prose, 9)
+    one = classes_of(make, texts)
+    monkeypatch.setattr(passages, "MEMBERS", 25)
+    assert classes_of(make, texts) == one
+
+
 @pytest.mark.parametrize("n", [20, 600])
 def test_passages_that_differ_from_one_in_the_middle(make, prose, n):
     r, base, texts = random.Random(8), prose(50, 55).split(), []
