@@ -649,13 +649,20 @@ def _remaining(crowd: DataFrame, parts: DataFrame, dealt: DataFrame, groups: int
     """m, r, first_word, similarity of links between windows of one large group whose documents are in different classes,
     as a table.
 
-    The windows outside a group's most frequent class meet all of the group, in blocks of both, so that every two windows
-    are in one class in the end or have been compared (see ``_across``)."""
+    One window stands for those of one class and group that are surrounded by the same shingles. The windows outside a
+    group's most frequent class meet all of the group, in blocks of both, so that every two windows are in one class in the
+    end or have been compared (see ``_across``)."""
     known = _rooted(crowd.select("gid", "d", "c").distinct(), parts, "d")
-    by_root = known.groupBy("gid", "of_d").agg(F.count("*").alias("n"))
-    group = by_root.groupBy("gid").agg(F.count("*").alias("roots"), F.max(F.struct("n", "of_d")).alias("top"), F.sum("n").alias("n")).where("roots > 1")
+    several = known.groupBy("gid").agg(F.min("of_d").alias("lo"), F.max("of_d").alias("hi")).where("lo != hi").select("gid")
+    known = written(known.join(several, "gid"), "known")
+    ctx = _around(known.select("d", "c").distinct().withColumn("g", F.pmod("d", F.lit(groups))), dealt)
+    same = ctx.select("d", "c", F.xxhash64("before", "ctx").alias("h"))
+    one = written(known.join(same, ["d", "c"]).groupBy("gid", "of_d", "h").agg(F.min(F.struct("d", "c")).alias("x")).select("gid", "of_d", "x.d", "x.c"), "one")
+    forget(known)
+    by_root = one.groupBy("gid", "of_d").agg(F.count("*").alias("n"))
+    group = by_root.groupBy("gid").agg(F.max(F.struct("n", "of_d")).alias("top"), F.sum("n").alias("n"))
     blocks = [F.ceil(n / MEMBERS).cast("int").alias(name) for n, name in ((F.col("n"), "of_all"), (F.col("n") - F.col("top.n"), "of_few"))]
-    met = written(known.join(group.select("gid", F.col("top.of_d").alias("top"), *blocks), "gid"), "crowds")
+    met = one.join(group.select("gid", F.col("top.of_d").alias("top"), *blocks), "gid")
     few, alone = F.col("of_d") != F.col("top"), F.col("of_all") == 1
 
     def deal(x: DataFrame, role, own: str, other: str) -> DataFrame:
@@ -664,7 +671,6 @@ def _remaining(crowd: DataFrame, parts: DataFrame, dealt: DataFrame, groups: int
 
     # a group of one block is sent once, with both roles
     both = deal(met, F.when(few & alone, 2).otherwise(0), "of_all", "of_few").unionByName(deal(met.where(few & ~alone), F.lit(1), "of_few", "of_all"))
-    ctx = _around(met.select("d", "c").distinct().withColumn("g", F.pmod("d", F.lit(groups))), dealt)
     more = written(both.join(ctx, ["d", "c"]).groupBy("gid", "of_few", "of_all").applyInArrow(_across, "m long, r long, first_word long, similarity double"), "more")
     forget(ctx)
     return more
@@ -685,6 +691,24 @@ def _probes(held: np.ndarray) -> np.ndarray:
     return out
 
 
+def _earlier(matrix: np.ndarray) -> np.ndarray:
+    """The last place before each one that holds the same value, in every row; -1 for none."""
+    order = np.argsort(matrix, axis=1, kind="stable")
+    value = np.take_along_axis(matrix, order, axis=1)
+    out = np.full(matrix.shape, -1, np.int16)
+    r, i = np.nonzero(value[:, 1:] == value[:, :-1])
+    out[r, order[r, i + 1]] = order[r, i]
+    return out
+
+
+def _extreme(x: np.ndarray, best) -> np.ndarray:
+    """The least or greatest of each T places in a row."""
+    wide, reach = x.shape[1] - T + 1, 1
+    while 2 * reach <= T:
+        x, reach = best(x[:, :-reach], x[:, reach:]), 2 * reach
+    return best(x[:, :wide], x[:, T - reach : T - reach + wide])
+
+
 def _across(group: pa.Table) -> pa.Table:
     """Links between the few and all windows of a block whose classes differ, as far as they join classes.
 
@@ -699,7 +723,7 @@ def _across(group: pa.Table) -> pa.Table:
     row = np.repeat(np.arange(n), size)
     place = (AROUND - before)[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
     value = np.unique(np.concatenate([*parts, np.zeros(0, np.uint32)]), return_inverse=True)[1]
-    matrix = np.full((n, width), value.max(initial=-1) + 1, np.int64)
+    matrix = np.full((n, width), value.max(initial=-1) + 1, np.int32)
     matrix[row, place] = value
     # the places of every shingle in all windows of the block
     own = role[row] != 1
@@ -707,36 +731,67 @@ def _across(group: pa.Table) -> pa.Table:
     at_row, at_place = row[own][by], place[own][by]
     count = np.bincount(value[own], minlength=int(value.max(initial=-1)) + 2)
     first = np.cumsum(count) - count
-    roots, root = np.unique(group["of_d"].to_numpy(), return_inverse=True)
-    least = np.arange(len(roots))
-
-    def label(x: int) -> int:
-        while least[x] != x:
-            least[x] = least[least[x]]
-            x = int(least[x])
-        return x
-
-    rows: list[tuple[int, int, int, float]] = []
-
-    def look(a: np.ndarray, b: np.ndarray) -> None:
-        for i in range(0, len(a), 1 << 12):
-            now = np.array([label(x) for x in range(len(roots))])[root] if rows else root
-            x, y = a[i : i + (1 << 12)], b[i : i + (1 << 12)]
-            apart = (now[x] != now[y]) & (ids[x] != ids[y])
-            x, y = x[apart], y[apart]
-            m, r = np.where(ids[x] > ids[y], x, y), np.where(ids[x] > ids[y], y, x)
-            j, start = verify([parts[k] for k in m], before[m], [parts[k] for k in r], before[r])
-            for k in np.nonzero(j >= SIMILARITY)[0].tolist():
-                u, v = label(int(root[m[k]])), label(int(root[r[k]]))
-                if u != v:
-                    least[max(u, v)] = min(u, v)
-                    rows.append((int(ids[m[k]]), int(ids[r[k]]), int(c[m[k]] - before[m[k]] + start[k]), float(j[k])))
-
-    asking = np.nonzero(role > 0)[0]
+    labels = np.unique(group["of_d"].to_numpy(), return_inverse=True)[1]
+    root, rows = labels.copy(), []
+    earlier, starts = _earlier(matrix), np.arange(width - T + 1)
+    distinct = np.stack([(earlier[:, i : i + T] < i).sum(axis=1) for i in starts], axis=1).astype(np.float32)
+    begin, end = (AROUND - before).astype(np.int16), (AROUND - before + size).astype(np.int16)
+    lookup = np.full(len(count), -1, np.int16)
+    span = np.arange(width)
+
+    def look(x: int, y: np.ndarray) -> None:
+        if end[x] - begin[x] < T:
+            return
+        of = starts[begin[x] : end[x] - T + 1]
+        held = slice(of[0], of[-1] + T)
+        new = ((span[:, None] >= of) & (span[:, None] < of + T) & (earlier[x][:, None] < of)).astype(np.float32)
+        own = distinct[x, of]
+        needed = np.float32(SIMILARITY) * own - np.float32(1e-3)
+        lookup[matrix[x][::-1]] = span[::-1]  # the first place of each shingle
+        first_place = lookup[matrix[x]]
+        lookup[-1] = -1
+        for i in range(0, len(y), 1 << 12):
+            some = y[i : i + (1 << 12)]
+            some = some[(labels[some] != labels[x]) & (ids[some] != ids[x]) & (end[some] - begin[some] >= T)]
+            if not len(some):
+                continue
+            near = lookup[matrix[some]]
+            r, q = np.nonzero(near >= 0)
+            found = np.full(near.shape, -1, np.int16)
+            found[r[::-1], near[r, q][::-1]] = q[::-1]
+            at = found[:, first_place]  # every place of the context has one, so the fillers find nothing
+            # as in best_passage, but with the shingles of T places of a counterpart that may be longer: never too little
+            common = (at >= 0).astype(np.float32) @ new
+            near_by = np.nonzero((common >= needed).any(axis=1))[0]
+            some, at, common = some[near_by], at[near_by][:, held], common[near_by]
+            lo, hi = _extreme(np.where(at >= 0, at, np.int16(width)), np.minimum), _extreme(at, np.maximum) + np.int16(1)
+            lo = np.where(hi - lo < T, np.clip(hi - T, begin[some][:, None], (end[some] - T)[:, None]), lo)
+            other = np.maximum(common, distinct[some[:, None], np.minimum(lo, len(starts) - 1)])
+            most = (common / (own + other - common)).max(axis=1, initial=0.0)
+            for k in some[most >= SIMILARITY - 1e-6].tolist():
+                if labels[k] == labels[x]:
+                    continue
+                m, r = (k, x) if ids[k] > ids[x] else (x, k)
+                j, at_word = best_passage(parts[m], parts[r])
+                if j < SIMILARITY:
+                    j, at_word = best_passage(parts[r], parts[m])
+                    at_word += before[m] - before[r]
+                if j >= SIMILARITY:
+                    rows.append((int(ids[m]), int(ids[r]), max(0, int(c[m] - before[m] + at_word)), float(j)))
+                    labels[labels == max(labels[m], labels[r])] = min(labels[m], labels[r])
+        lookup[matrix[x]] = -1
+
+    asking, every = np.nonzero(role > 0)[0], np.nonzero(role != 1)[0]
     for i in range(0, len(asking), 1 << 10):
         mine = asking[i : i + (1 << 10)]
         held = count[matrix[mine]]
-        r, p = np.nonzero(_probes(held) & (held > 0))
+        asked = _probes(held) & (held > 0)
+        # where that meets about everything, everything is looked at
+        whole = np.where(asked, held, 0).sum(axis=1) >= len(every)
+        for x in mine[whole].tolist():
+            look(x, every[~few[every] | (ids[x] > ids[every])])
+        asked[whole] = False
+        r, p = np.nonzero(asked)
         many = held[r, p]
         # a bounded number of meetings at a time
         cuts = np.nonzero(np.diff(np.cumsum(many) // (1 << 22), prepend=0))[0].tolist()
@@ -747,7 +802,10 @@ def _across(group: pa.Table) -> pa.Table:
             x, y = mine[r[s]], at_row[at]
             ok = (np.abs(at_place[at] - p[s]) <= SLACK) & (root[x] != root[y]) & (~few[y] | (ids[x] > ids[y]))
             pair = np.unique(x[ok] * n + y[ok])
-            look(pair // n, pair % n)
+            x, y = pair // n, pair % n
+            for z in np.split(np.arange(len(pair)), np.nonzero(np.diff(x))[0] + 1):
+                if len(z):
+                    look(int(x[z[0]]), y[z])
     cols = list(zip(*rows, strict=True)) or [()] * 4
     return pa.table({"m": pa.array(cols[0], pa.int64()), "r": pa.array(cols[1], pa.int64()), "first_word": pa.array(cols[2], pa.int64()), "similarity": pa.array(cols[3], pa.float64())})
 
