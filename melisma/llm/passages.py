@@ -794,7 +794,7 @@ def _across(group: pa.Table) -> pa.Table:
         r, p = np.nonzero(asked)
         many = held[r, p]
         # a bounded number of meetings at a time
-        cuts = np.nonzero(np.diff(np.cumsum(many) // (1 << 22), prepend=0))[0].tolist()
+        cuts = np.nonzero(np.diff(np.cumsum(many) // (1 << 18), prepend=0))[0].tolist()
         for lo, hi in zip([0, *cuts], [*cuts, len(r)], strict=True):
             k = many[lo:hi]
             s = np.repeat(np.arange(lo, hi), k)
