@@ -53,9 +53,11 @@ K, NEED, SIDE, SMALL, AROUND = 6, 3, 10, 16, 64
 LAID, STEP = 31, 5
 REACH = LAID - 1
 _OVER = range(0, LAID, STEP)
-_WIDE = [f"w{a}" for a in _OVER]
+_LAID = [f"w{a}" for a in _OVER]
 #: Windows of a large group in one block, and of a shingle that a block's rare shingles have at most.
 MEMBERS, RARE = 1 << 15, 16
+#: Windows outside the largest class of a group beyond which best linked documents meet the rest before all do.
+OUTSIDE = 1 << 11
 #: Documents, at most, whose ids are sent to all texts to pick theirs.
 FEW = 100_000
 #: Rounds, at most, in which the best linked documents of the two largest classes of a large group meet the rest.
@@ -63,13 +65,17 @@ ROUNDS = 8
 #: Marks a link of equal passages in its function's number.
 SURE = 8
 T = WORDS - SHINGLE + 1
+#: Different shingles that a passage, or its counterpart, may have for itself: with i in common i <= T, and i >= SIMILARITY * (i + own).
+MISSING = int(T * (1 / SIMILARITY - 1) + 1e-9)
 CHUNK, BLOCK, PIECE = 6 << 20, 1 << 18, 1 << 15
 #: Bytes of input for each key range and group of documents; many links of near copies may meet in one.
 RANGE = 1 << 20
+#: Shingles around a place with those on both sides, and groups of documents that send theirs together.
+WIDE, WIDER = 2 * AROUND + 1, 8
 #: Words by which the places of a passage may be moved against its counterpart's.
 SLACK = 3
 _SEEDS = [U64(xxhash.xxh64_intdigest(b"window %d" % k)) for k in range(K)]
-_ENTRY = {"keys": U64, "left": np.uint32, "right": np.uint32, "docs": np.int64, "c": np.uint32, "dl": np.uint16, "dr": np.uint16, "full": np.uint8, **dict.fromkeys(_WIDE, np.uint16)}
+_ENTRY = {"keys": U64, "left": np.uint32, "right": np.uint32, "docs": np.int64, "c": np.uint32, "dl": np.uint16, "dr": np.uint16, "full": np.uint8, **dict.fromkeys(_LAID, np.uint16)}
 _LINK = {"m": np.int64, "r": np.int64, "cm": np.uint32, "cr": np.uint32, "dl": np.uint16, "dr": np.uint16, "k": np.uint8}
 _ALL = {**_ENTRY, **{x: v for x, v in _LINK.items() if x not in _ENTRY}}
 _SENT = "bucket long, " + ", ".join(f"{x} binary" for x in _ALL)
@@ -242,7 +248,7 @@ def _equal(e: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]
     keep = np.ones(len(e["keys"]), np.bool_)
     at = np.nonzero(e["full"])[0]
     z = e["keys"][at] ^ (e["left"][at].astype(U64) << U64(32)) ^ e["right"][at]
-    for x in _WIDE:
+    for x in _LAID:
         z = mix(z + e[x][at])
     by, head, size = _groups_of(z, last=e["docs"][at])
     rest = np.arange(len(by)) > head
@@ -264,7 +270,7 @@ def _paired(e: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], list[tuple
         pairs.append((many, by[head[size > SMALL]]))
         members.append((mix(e["keys"][many] + (e[side][many].astype(U64) << U64(1)) + U64(side == "left")).view(np.int64), e["docs"][many], e["c"][many], e["k"][many]))
     at = np.nonzero(crowded)[0]
-    laid = [_groups_of(e["keys"][at], e[x][at], last=e["docs"][at]) for x in _WIDE]
+    laid = [_groups_of(e["keys"][at], e[x][at], last=e["docs"][at]) for x in _LAID]
     shared = np.zeros(len(at), np.int64)
     for by, _, size in laid:
         shared[by] += size > SMALL
@@ -565,16 +571,23 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = _shown(candidates.where("rank = 0").select("m", "cm", "r", "cr"), dealt, groups, "links", sure)
     parts = written(components(found.select(F.col("r").alias("a"), F.col("m").alias("b"))), "parts")
     asked, tried = candidates.where("rank = 1").select("m", "cm", "r", "cr"), _cells(candidates.where("rank = 0")).drop("cm", "cr")
-    members = written(crowd.groupBy("gid", "d", "k").agg(F.min("c").alias("c")), "members")
-    met = None
+    rest = written(_cells(_apart(asked, parts)).join(tried, _CELL, "left_anti"), "rest")
+    more = _shown(rest.select("m", "cm", "r", "cr"), dealt, groups, "more")
+    if not more.isEmpty():
+        parts, found = written(_joined(parts, more).drop("changed"), "parts"), found.unionByName(more)
+    tried = tried.unionByName(rest.select(*_CELL))
+    known = written(_several(_rooted(crowd, parts, "d")), "known")
+    forget(crowd)
+    members, met, settled = written(_outside(known).groupBy("gid", "d", "k").agg(F.min("c").alias("c")), "members"), None, parts
     for _ in range(ROUNDS):
-        known = _known(members, parts, found)
-        hubs = written(_hubs(known), "hubs")
+        if members.isEmpty():
+            break
+        now = _known(members, parts, found)
+        hubs = written(_hubs(now), "hubs")
         # what is not in the class of a hub now has met it when it became one
         new = hubs if met is None else hubs.join(hubs.join(met, ["gid", "e"], "left_anti").select("e").distinct(), "e", "left_semi")
         met = hubs.select("gid", "e") if met is None else met.unionByName(new.select("gid", "e"))
-        rest = _cells(_apart(asked, parts)).unionByName(_meetings(known, new))
-        rest = written(rest.join(tried, _CELL, "left_anti"), "rest")
+        rest = written(_meetings(now, new).join(tried, _CELL, "left_anti"), "rest")
         if rest.isEmpty():
             break
         more = _shown(rest.select("m", "cm", "r", "cr"), dealt, groups, "more")
@@ -584,9 +597,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         # only groups that a joined class has members in can have other hubs than before
         touched = members.join(parts.where("changed").select(F.col("node").alias("d")), "d", "left_semi").select("gid").distinct()
         members, parts, found = written(members.join(touched, "gid", "left_semi"), "members"), parts.drop("changed"), found.unionByName(more)
-        asked, tried = asked.limit(0), tried.unionByName(rest.select(*_CELL))
+        tried = tried.unionByName(rest.select(*_CELL))
     forget(candidates)
-    more = _remaining(crowd, parts, dealt, groups)
+    if parts is not settled:
+        known = written(_several(_rooted(known.drop("of_d"), parts, "d")), "known")
+    more = _remaining(known, dealt, groups)
     if not more.isEmpty():
         parts, found = written(_joined(parts, more).drop("changed"), "parts"), found.unionByName(more)
     return found, parts
@@ -645,35 +660,178 @@ def _meetings(known: DataFrame, hubs: DataFrame) -> DataFrame:
     return _cells(pairs.select("m", "r", F.explode("at").alias("x")).select("m", "r", "x.cm", "x.cr"))
 
 
-def _remaining(crowd: DataFrame, parts: DataFrame, dealt: DataFrame, groups: int) -> DataFrame:
+def _several(known: DataFrame) -> DataFrame:
+    """The windows (gid, d, c, of_d) of the groups with several classes."""
+    several = known.groupBy("gid").agg(F.min("of_d").alias("lo"), F.max("of_d").alias("hi")).where("lo != hi").select("gid")
+    return known.join(several, "gid")
+
+
+def _sizes(known: DataFrame) -> DataFrame:
+    """gid, top (its most frequent class), n (its windows) and outside (those of other classes)."""
+    by_root = known.groupBy("gid", "of_d").agg(F.count("*").alias("n"))
+    return by_root.groupBy("gid").agg(F.max(F.struct("n", "of_d")).alias("x"), F.sum("n").alias("n")).select("gid", F.col("x.of_d").alias("top"), "n", (F.col("n") - F.col("x.n")).alias("outside"))
+
+
+def _outside(known: DataFrame) -> DataFrame:
+    """The windows of the groups that hold more than ``OUTSIDE`` windows outside their largest class."""
+    return known.join(_sizes(known).where(F.col("outside") > OUTSIDE).select("gid"), "gid", "left_semi")
+
+
+def _remaining(known: DataFrame, dealt: DataFrame, groups: int) -> DataFrame:
     """m, r, first_word, similarity of links between windows of one large group whose documents are in different classes,
     as a table.
 
     One window stands for those of one class and group that are surrounded by the same shingles. The windows outside a
     group's most frequent class meet all of the group, in blocks of both, so that every two windows are in one class in the
-    end or have been compared (see ``_across``)."""
-    known = _rooted(crowd.select("gid", "d", "c").distinct(), parts, "d")
-    several = known.groupBy("gid").agg(F.min("of_d").alias("lo"), F.max("of_d").alias("hi")).where("lo != hi").select("gid")
-    known = written(known.join(several, "gid"), "known")
-    ctx = _around(known.select("d", "c").distinct().withColumn("g", F.pmod("d", F.lit(groups))), dealt)
-    same = ctx.select("d", "c", F.xxhash64("before", "ctx").alias("h"))
-    one = written(known.join(same, ["d", "c"]).groupBy("gid", "of_d", "h").agg(F.min(F.struct("d", "c")).alias("x")).select("gid", "of_d", "x.d", "x.c"), "one")
-    forget(known)
-    by_root = one.groupBy("gid", "of_d").agg(F.count("*").alias("n"))
-    group = by_root.groupBy("gid").agg(F.max(F.struct("n", "of_d")).alias("top"), F.sum("n").alias("n"))
-    blocks = [F.ceil(n / MEMBERS).cast("int").alias(name) for n, name in ((F.col("n"), "of_all"), (F.col("n") - F.col("top.n"), "of_few"))]
-    met = one.join(group.select("gid", F.col("top.of_d").alias("top"), *blocks), "gid")
-    few, alone = F.col("of_d") != F.col("top"), F.col("of_all") == 1
-
-    def deal(x: DataFrame, role, own: str, other: str) -> DataFrame:
-        mine, others = F.pmod(F.xxhash64("d", "c"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        return x.select("gid", "d", "c", "of_d", few.alias("few"), role.alias("role"), mine.alias(own), others.alias(other))
-
-    # a group of one block is sent once, with both roles
-    both = deal(met, F.when(few & alone, 2).otherwise(0), "of_all", "of_few").unionByName(deal(met.where(few & ~alone), F.lit(1), "of_few", "of_all"))
-    more = written(both.join(ctx, ["d", "c"]).groupBy("gid", "of_few", "of_all").applyInArrow(_across, "m long, r long, first_word long, similarity double"), "more")
-    forget(ctx)
-    return more
+    end or have been compared (see ``_across``). The surroundings travel packed, sorted by block, so that what many windows
+    of a group share is sent about once by a group of documents."""
+    ids, n = known.select(F.col("d").alias("doc_id")).distinct(), max(7, groups // WIDER)
+    if ids.count() <= FEW:
+        dealt = dealt.join(F.broadcast(ids), "doc_id", "left_semi")
+    blocks = [F.ceil(F.col(x) / MEMBERS).cast("long").alias(name) for x, name in (("n", "of_all"), ("outside", "of_few"))]
+    asked = known.join(_sizes(known).select("gid", "top", *blocks), "gid").select("gid", "d", "c", "of_d", (F.col("of_d") != F.col("top")).cast("long").alias("few"), "of_all", "of_few", F.pmod("d", F.lit(n)).alias("g"))
+    dealt = dealt.withColumn("g", F.pmod("doc_id", F.lit(n)))
+    sent = dealt.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(_surroundings(n), "bucket long, n long, packed binary, rows binary")
+    return written(sent.groupBy("bucket").applyInArrow(_blocks, "m long, r long, first_word long, similarity double"), "more")
+
+
+_ROW = ("gid", "of_few", "of_all", "role", "few", "of_d", "d", "c", "lo", "hi")
+
+
+def _surroundings(n: int):
+    """The windows asked for in a group of documents as packed rows for ``n`` buckets of blocks, with the shingles around them
+    (32 bits, in ``WIDE`` places) and the places that are inside the document."""
+
+    def run(key: tuple, left: pa.Table, asked: pa.Table) -> pa.Table:
+        ask = {x: asked[x].to_numpy() for x in ("gid", "d", "c", "of_d", "few", "of_all", "of_few")}
+        by = np.argsort(ask["d"], kind="stable")
+        ask = {x: v[by] for x, v in ask.items()}
+        lo, hi = np.zeros(len(by), np.int64), np.zeros(len(by), np.int64)
+        around, seen = np.zeros((len(by), WIDE), np.uint32), set()
+        for doc_id, text in zip(left["doc_id"].to_pylist(), left["text"].to_pylist(), strict=True):
+            i, j = np.searchsorted(ask["d"], [doc_id, doc_id + 1])
+            if i == j or doc_id in seen:
+                continue
+            seen.add(doc_id)
+            s, c = (shingles(text) >> U64(32)).astype(np.uint32), ask["c"][i:j]
+            around[i:j] = np.lib.stride_tricks.sliding_window_view(np.pad(s, AROUND), WIDE)[c]
+            lo[i:j], hi[i:j] = np.maximum(0, AROUND - c), np.minimum(WIDE, AROUND + len(s) - c)
+        ask |= {"lo": lo, "hi": hi}
+        one = _one_of_each(ask, around)
+        ask, around = {x: v[one] for x, v in ask.items()}, around[one]
+        # every window is in one block of all for each of the few, and one of the few in one block of these for each of all;
+        # a group of one block is sent once, with both roles
+        own = mix(ask["d"].astype(U64) * U64(0x9E3779B97F4A7C55) + ask["c"].astype(U64))
+        few, alone = ask["few"] > 0, ask["of_all"] == 1
+        at, rows = [], []
+        for some, of, other, role in ((np.arange(len(own)), "of_all", "of_few", np.where(few & alone, 2, 0)), (np.nonzero(few & ~alone)[0], "of_few", "of_all", np.ones(len(own), np.int64))):
+            times = ask[other][some]
+            i = np.repeat(some, times)
+            at.append(i)
+            rows.append({of: (own[i] % ask[of][i].astype(U64)).astype(np.int64), other: np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times), "role": role[i]})
+        at = np.concatenate(at)
+        ask = {x: v[at] for x, v in ask.items()} | {x: np.concatenate([r[x] for r in rows]) for x in ("of_all", "of_few", "role")}
+        bucket = (mix(ask["gid"].astype(U64) + mix((ask["of_few"] << 32 | ask["of_all"]).astype(U64))) % U64(n)).astype(np.int64)
+        by = np.lexsort((ask["of_all"], ask["of_few"], ask["gid"], bucket))
+        edges = np.nonzero(np.diff(bucket[by], prepend=-1, append=-1))[0] if len(by) else np.zeros(1, np.int64)
+        cols: dict[str, list] = {"bucket": [], "n": [], "packed": [], "rows": []}
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            i = by[a:z]
+            cols["bucket"].append(int(bucket[i[0]]))
+            cols["n"].append(len(i))
+            cols["packed"].append(pa.compress(around[at[i]].tobytes(), "zstd", asbytes=True))
+            cols["rows"].append(pa.compress(planes(np.stack([ask[x][i] for x in _ROW])), "zstd", asbytes=True))
+        return pa.table({"bucket": pa.array(cols["bucket"], pa.int64()), "n": pa.array(cols["n"], pa.int64()), "packed": pa.array(cols["packed"], pa.binary()), "rows": pa.array(cols["rows"], pa.binary())})
+
+    return run
+
+
+def _one_of_each(x: dict[str, np.ndarray], around: np.ndarray) -> np.ndarray:
+    """One window, of the smallest document, for each group, class and surroundings."""
+    factors, h = mix(np.arange(1, WIDE + 3, dtype=U64)), np.zeros(len(around), U64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(h), PIECE):
+            h[i : i + PIECE] = (around[i : i + PIECE] * factors[:WIDE]).sum(axis=1, dtype=U64)
+        h = mix(h + x["lo"].astype(U64) * factors[WIDE] + x["hi"].astype(U64) * factors[WIDE + 1])
+    by = np.lexsort((x["c"], x["d"], h, x["of_d"], x["gid"]))
+    new = np.ones(len(by), np.bool_)
+    new[1:] = (h[by][1:] != h[by][:-1]) | (x["of_d"][by][1:] != x["of_d"][by][:-1]) | (x["gid"][by][1:] != x["gid"][by][:-1])
+    return by[new]
+
+
+def _blocks(key: tuple, group: pa.Table) -> pa.Table:
+    rows: list[tuple] = []
+    many, packed = group["n"].to_pylist(), group["packed"].to_pylist()
+    told = [from_planes(pa.decompress(x, n * len(_ROW) * 8, "zstd", asbytes=True), np.int64).reshape(len(_ROW), n) for x, n in zip(group["rows"].to_pylist(), many, strict=True)]
+    x = dict(zip(_ROW, np.concatenate(told, axis=1), strict=True))
+    around = np.empty((sum(many), WIDE), np.uint32)
+    for i, (end, n) in enumerate(zip(np.cumsum(many).tolist(), many, strict=True)):
+        around[end - n : end] = np.frombuffer(pa.decompress(packed[i], n * WIDE * 4, "zstd"), np.uint32).reshape(n, WIDE)
+    by = np.lexsort((x["of_all"], x["of_few"], x["gid"]))
+    place = np.stack([x[y][by] for y in ("gid", "of_few", "of_all")])
+    edges = np.nonzero(np.concatenate([[True], (place[:, 1:] != place[:, :-1]).any(axis=0), [True]]))[0]
+    for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        i = by[a:z]
+        block = {y: x[y][i] for y in _ROW}
+        i = i[survivors(around[i], block["lo"], block["hi"], block["of_d"], block["role"])]
+        if len(i):
+            block = {y: x[y][i] for y in _ROW}
+            # the roles of one window do not differ for those that it stands for
+            one = _one_of_each(block | {"gid": block["role"]}, around[i])
+            rows += _across({y: v[one] for y, v in block.items()}, around[i[one]])
+    cols = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.table({"m": pa.array(cols[0], pa.int64()), "r": pa.array(cols[1], pa.int64()), "first_word": pa.array(cols[2], pa.int64()), "similarity": pa.array(cols[3], pa.float64())})
+
+
+def _may_pass(around: np.ndarray, slot: np.ndarray, outside: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which contexts hold T shingles in a row of which few enough different ones lack in ``common``: of a passage with i
+    different shingles in common, i <= T, and its counterpart no more than i * (1 / SIMILARITY - 1) each."""
+    lacks = ~common[slot] | outside
+    total = np.pad(np.cumsum(lacks, axis=1, dtype=np.int16), ((0, 0), (1, 0)))
+    ok = (total[:, T:] - total[:, :-T]).min(axis=1) <= MISSING
+    # a closer look at the others, in which repeats count once
+    for i in range(0, len(ok), PIECE >> 2):
+        at = i + np.nonzero(~ok[i : i + (PIECE >> 2)])[0]
+        earlier, lack, out = _earlier(around[at]), lacks[at], outside[at]
+        most = ((earlier < 0) & ~lack).sum(axis=1) * (1 / SIMILARITY - 1) + 1e-9
+        lack &= ~out
+        for start in range(WIDE - T + 1):
+            run = slice(start, start + T)
+            own = (lack[:, run] & (earlier[:, run] < start)).sum(axis=1)
+            ok[at] |= ~out[:, start] & ~out[:, start + T - 1] & (own <= np.minimum(MISSING, most))
+    return ok
+
+
+def survivors(around: np.ndarray, lo: np.ndarray, hi: np.ndarray, classes: np.ndarray, role: np.ndarray) -> np.ndarray:
+    """The windows of a block that may have a passage in common with one of another class.
+
+    Of T shingles in a row a passage has no more than ``MISSING`` different ones for itself, and so has its counterpart: those
+    that only windows of one class hold, or none on the other side, are of that kind. What is out leaves fewer shingles in
+    common, so this repeats. Shingles meet in slots, where strangers that share one count as common: never too few stay."""
+    labels = np.unique(classes, return_inverse=True)[1].astype(np.int32)
+    n_slots = 1 << min(22, max(12, int(around.size * 2).bit_length()))
+    slot = (around & np.uint32(n_slots - 1)).astype(np.int32)
+    span = np.arange(WIDE)
+    outside = (span < lo[:, None]) | (span >= hi[:, None])
+    at = np.arange(len(around))
+    while True:
+        before = (role[at] > 0).sum()
+        for asking in (True, False):
+            label = np.full(n_slots, -1, np.int32)
+            label[slot[at]] = labels[at, None]
+            common = np.zeros(n_slots, np.bool_)
+            common[slot[at][label[slot[at]] != labels[at, None]]] = True
+            if not asking:
+                theirs = np.zeros(n_slots, np.bool_)
+                theirs[slot[at[role[at] > 0]]] = True
+                common &= theirs
+            mine = np.nonzero((role[at] > 0) == asking)[0]
+            i = at[mine]
+            at = np.delete(at, mine[~_may_pass(around[i], slot[i], outside[i], common)]) if len(i) else at
+            if not (role[at] > 0).any():
+                return at[:0]
+        if (role[at] > 0).sum() > 0.9 * before:
+            return at
 
 
 def _probes(held: np.ndarray) -> np.ndarray:
@@ -709,20 +867,20 @@ def _extreme(x: np.ndarray, best) -> np.ndarray:
     return best(x[:, :wide], x[:, T - reach : T - reach + wide])
 
 
-def _across(group: pa.Table) -> pa.Table:
-    """Links between the few and all windows of a block whose classes differ, as far as they join classes.
+def _across(group: dict[str, np.ndarray], around: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """m, r, first_word and similarity of links between the few and all windows of a block whose classes differ, as far as
+    they join classes.
 
     Of T places in a row a passage and its counterpart agree in all but a few, up to SLACK, so one of any few more that
     are looked up is common to both: windows that share none of the rarest need no closer look. All others are verified, but
     for those that a link has brought into one class by then."""
-    role, ids, c, before = (group[x].to_numpy() for x in ("role", "d", "c", "before"))
-    few = group["few"].to_numpy(zero_copy_only=False).astype(np.bool_)
-    parts = blobs(group["ctx"], np.uint32)
-    n, width = len(ids), 2 * AROUND + 1
-    size = np.array([len(x) for x in parts], np.int64)
-    row = np.repeat(np.arange(n), size)
-    place = (AROUND - before)[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    value = np.unique(np.concatenate([*parts, np.zeros(0, np.uint32)]), return_inverse=True)[1]
+    role, ids, c, few = group["role"], group["d"], group["c"], group["few"] > 0
+    begin, end = group["lo"].astype(np.int16), group["hi"].astype(np.int16)
+    before = AROUND - group["lo"]
+    n, width = len(ids), WIDE
+    parts = [x[a:z] for x, a, z in zip(around, begin.tolist(), end.tolist(), strict=True)]
+    row, place = np.nonzero((np.arange(width) >= begin[:, None]) & (np.arange(width) < end[:, None]))
+    value = np.unique(around[row, place], return_inverse=True)[1]
     matrix = np.full((n, width), value.max(initial=-1) + 1, np.int32)
     matrix[row, place] = value
     # the places of every shingle in all windows of the block
@@ -731,11 +889,14 @@ def _across(group: pa.Table) -> pa.Table:
     at_row, at_place = row[own][by], place[own][by]
     count = np.bincount(value[own], minlength=int(value.max(initial=-1)) + 2)
     first = np.cumsum(count) - count
-    labels = np.unique(group["of_d"].to_numpy(), return_inverse=True)[1]
+    new = np.ones(len(by), np.bool_)  # and every window that holds it, once
+    new[1:] = (at_row[1:] != at_row[:-1]) | (np.diff(value[own][by]) != 0)
+    holder, once = at_row[new], np.searchsorted(value[own][by][new], np.arange(len(count) + 1))
+    labels = np.unique(group["of_d"], return_inverse=True)[1]
     root, rows = labels.copy(), []
-    earlier, starts = _earlier(matrix), np.arange(width - T + 1)
-    distinct = np.stack([(earlier[:, i : i + T] < i).sum(axis=1) for i in starts], axis=1).astype(np.float32)
-    begin, end = (AROUND - before).astype(np.int16), (AROUND - before + size).astype(np.int16)
+    asking, every = np.nonzero(role > 0)[0], np.nonzero(role != 1)[0]
+    starts, earlier = np.arange(width - T + 1), np.zeros((n, width), np.int16)
+    earlier[asking] = _earlier(matrix[asking])
     lookup = np.full(len(count), -1, np.int16)
     span = np.arange(width)
 
@@ -745,8 +906,13 @@ def _across(group: pa.Table) -> pa.Table:
         of = starts[begin[x] : end[x] - T + 1]
         held = slice(of[0], of[-1] + T)
         new = ((span[:, None] >= of) & (span[:, None] < of + T) & (earlier[x][:, None] < of)).astype(np.float32)
-        own = distinct[x, of]
+        own = new.sum(axis=0)
         needed = np.float32(SIMILARITY) * own - np.float32(1e-3)
+        # how many shingles of the context each window holds, wherever they stand
+        mine = np.unique(matrix[x][begin[x] : end[x]])
+        many = once[mine + 1] - once[mine]
+        at = np.repeat(once[mine] + many - np.cumsum(many), many) + np.arange(many.sum())
+        y = y[np.bincount(holder[at], minlength=n)[y] >= needed.min()]
         lookup[matrix[x][::-1]] = span[::-1]  # the first place of each shingle
         first_place = lookup[matrix[x]]
         lookup[-1] = -1
@@ -766,7 +932,11 @@ def _across(group: pa.Table) -> pa.Table:
             some, at, common = some[near_by], at[near_by][:, held], common[near_by]
             lo, hi = _extreme(np.where(at >= 0, at, np.int16(width)), np.minimum), _extreme(at, np.maximum) + np.int16(1)
             lo = np.where(hi - lo < T, np.clip(hi - T, begin[some][:, None], (end[some] - T)[:, None]), lo)
-            other = np.maximum(common, distinct[some[:, None], np.minimum(lo, len(starts) - 1)])
+            if not len(some):
+                continue
+            before_it = _earlier(matrix[some])
+            distinct = np.stack([(before_it[:, i : i + T] < i).sum(axis=1) for i in starts], axis=1).astype(np.float32)
+            other = np.maximum(common, np.take_along_axis(distinct, np.minimum(lo, len(starts) - 1), axis=1))
             most = (common / (own + other - common)).max(axis=1, initial=0.0)
             for k in some[most >= SIMILARITY - 1e-6].tolist():
                 if labels[k] == labels[x]:
@@ -781,7 +951,6 @@ def _across(group: pa.Table) -> pa.Table:
                     labels[labels == max(labels[m], labels[r])] = min(labels[m], labels[r])
         lookup[matrix[x]] = -1
 
-    asking, every = np.nonzero(role > 0)[0], np.nonzero(role != 1)[0]
     for i in range(0, len(asking), 1 << 10):
         mine = asking[i : i + (1 << 10)]
         held = count[matrix[mine]]
@@ -806,8 +975,7 @@ def _across(group: pa.Table) -> pa.Table:
             for z in np.split(np.arange(len(pair)), np.nonzero(np.diff(x))[0] + 1):
                 if len(z):
                     look(int(x[z[0]]), y[z])
-    cols = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.table({"m": pa.array(cols[0], pa.int64()), "r": pa.array(cols[1], pa.int64()), "first_word": pa.array(cols[2], pa.int64()), "similarity": pa.array(cols[3], pa.float64())})
+    return rows
 
 
 def near_duplicate_passages(docs: DataFrame) -> DataFrame:

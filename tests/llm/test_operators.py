@@ -319,6 +319,68 @@ def test_blocks_of_large_groups(monkeypatch, make, prose):
     assert classes_of(make, texts) == one
 
 
+def crops(seed, n=60, most=60, repeat=0):
+    """Windows around one place of a text, cut from it at any two ends, a third with a word changed, as a block's rows."""
+    r = np.random.default_rng(seed)
+    source = r.integers(1, 1 << 32, passages.WIDE, dtype=np.uint32)
+    if repeat:
+        source = np.tile(source[:repeat], passages.WIDE // repeat + 1)[: passages.WIDE]
+    around, lo, hi = np.zeros((n, passages.WIDE), np.uint32), np.zeros(n, np.int64), np.full(n, passages.WIDE)
+    for i in range(n):
+        a, z = passages.AROUND - r.integers(0, most // 2 + 1), passages.AROUND + 11 + r.integers(0, most // 2 + 1)
+        own = r.integers(1, 1 << 32, passages.WIDE, dtype=np.uint32)
+        around[i] = own
+        around[i, a:z] = source[a:z]
+        if i % 3 == 0:
+            at = r.integers(passages.AROUND - 30, passages.AROUND - 4)
+            around[i, at : at + 5] = own[at : at + 5]
+        lo[i], hi[i] = (r.integers(0, a + 1), r.integers(z, passages.WIDE + 1)) if i % 4 == 0 else (0, passages.WIDE)
+        around[i, : lo[i]] = around[i, hi[i] :] = 0
+    few = (np.arange(n) % 3 > 0).astype(np.int64)
+    classes = np.where(few, r.permutation(n) % 9 + 1, 0)
+    return {"role": 2 * few, "few": few, "of_d": classes, "d": np.arange(n), "c": np.full(n, 100), "lo": lo, "hi": hi}, around
+
+
+@pytest.mark.parametrize(("most", "repeat"), [(60, 0), (90, 0), (90, 25)])
+def test_a_block_keeps_all_windows_that_pass(most, repeat):
+    """Windows that pass with one of another class stay, and the classes that they join are those of all pairs."""
+    for seed in range(4):
+        x, around = crops(seed, most=most, repeat=repeat)
+        parts = [v[a:z] for v, a, z in zip(around, x["lo"], x["hi"], strict=True)]
+        stay = passages.survivors(around, x["lo"], x["hi"], x["of_d"], x["role"])
+        parent, want = {i: i for i in range(10)}, set()
+
+        def joined(pairs, parent):
+            of = dict(parent)
+            for i, j in pairs:
+                a, b = sorted((of[x["of_d"][i]], of[x["of_d"][j]]))
+                of = {k: a if v == b else v for k, v in of.items()}
+            return of
+
+        for i in range(len(parts)):
+            for j in range(i):
+                if x["of_d"][i] != x["of_d"][j] and max(passages.best_passage(parts[i], parts[j])[0], passages.best_passage(parts[j], parts[i])[0]) >= 0.8:
+                    want.add((i, j))
+        assert {i for p in want for i in p} <= set(stay.tolist())
+        got = passages._across({k: v[stay] for k, v in x.items()}, around[stay]) if len(stay) else []
+        assert all((m, r) in want for m, r, *_ in got)
+        assert joined([(m, r) for m, r, *_ in got], parent) == joined(want, parent)
+
+
+def test_a_block_lets_windows_go_that_share_too_little():
+    """Windows of another class that share 31 shingles at most with the rest of a large block are not compared with it."""
+    x, around = crops(5, n=900, most=20)
+    assert len(passages.survivors(around, x["lo"], x["hi"], x["of_d"], x["role"])) == 0
+
+
+def test_best_linked_documents_of_large_groups(monkeypatch, make, prose):
+    """The same classes whether the best linked documents of a group meet the rest first or all windows meet at once."""
+    _, texts = crossed(prose, 9)
+    one = classes_of(make, texts)
+    monkeypatch.setattr(passages, "OUTSIDE", 5)
+    assert classes_of(make, texts) == one
+
+
 @pytest.mark.parametrize("n", [20, 600])
 def test_passages_that_differ_from_one_in_the_middle(make, prose, n):
     r, base, texts = random.Random(8), prose(50, 55).split(), []
