@@ -489,13 +489,6 @@ def verify(am: list[np.ndarray], before_m: np.ndarray, ar: list[np.ndarray], bef
     straight = a[:, SLACK : SLACK + n] == b[:, SLACK : SLACK + n]
     same = within(straight)
     best, most = same.argmax(axis=1), same.max(axis=1)
-    # a passage with an added or missing word matches in two alignments; more of them leave too little in common
-    reach = most.copy()
-    for s in range(2 * SLACK + 1):
-        moved = a[:, SLACK : SLACK + n] == b[:, s : s + n]
-        some = np.nonzero(moved.any(axis=1))[0] if s != SLACK else []
-        if len(some):
-            reach[some] = np.maximum(reach[some], within(straight[some] | moved[some]).max(axis=1))
     # with i of T shingles in common, and all different, the similarity is i / (2 T - i)
     enough = int(np.ceil(2 * T * SIMILARITY / (1 + SIMILARITY) - 1e-9))
     ok = np.nonzero(most >= enough)[0]
@@ -509,8 +502,16 @@ def verify(am: list[np.ndarray], before_m: np.ndarray, ar: list[np.ndarray], bef
         p, q = set(a[i, at : at + T].tolist()), set(b[i, at : at + T].tolist())
         j = len(p & q) / len(p | q)
         similarity[i] = j if j >= SIMILARITY else 0.0
+    # a passage with an added or missing word matches in two alignments; more of them leave too little in common
+    rest = np.nonzero(similarity == 0)[0]
+    reach, a, b, straight = most[rest], a[rest], b[rest], straight[rest]
+    for s in range(2 * SLACK + 1):
+        both = straight | (a[:, SLACK : SLACK + n] == b[:, s : s + n])
+        some = np.nonzero(both.sum(axis=1) >= enough)[0] if s != SLACK else []
+        if len(some):
+            reach[some] = np.maximum(reach[some], within(both[some]).max(axis=1))
     # passages with words moved or added
-    for i in np.nonzero((reach >= enough) & (similarity == 0))[0].tolist():
+    for i in rest[reach >= enough].tolist():
         similarity[i], start[i] = best_passage(am[i], ar[i])
     return similarity, start
 
@@ -786,13 +787,22 @@ def _blocks(key: tuple, group: pa.Table) -> pa.Table:
 def _may_pass(around: np.ndarray, slot: np.ndarray, outside: np.ndarray, common: np.ndarray) -> np.ndarray:
     """Which contexts hold T shingles in a row of which few enough different ones lack in ``common``: of a passage with i
     different shingles in common, i <= T, and its counterpart no more than i * (1 / SIMILARITY - 1) each."""
+
+    def least(lacks: np.ndarray) -> np.ndarray:
+        total = np.pad(np.cumsum(lacks, axis=1, dtype=np.int16), ((0, 0), (1, 0)))
+        return (total[:, T:] - total[:, :-T]).min(axis=1)
+
     lacks = ~common[slot] | outside
-    total = np.pad(np.cumsum(lacks, axis=1, dtype=np.int16), ((0, 0), (1, 0)))
-    ok = (total[:, T:] - total[:, :-T]).min(axis=1) <= MISSING
+    ok = least(lacks) <= MISSING
     # a closer look at the others, in which repeats count once
     for i in range(0, len(ok), PIECE >> 2):
         at = i + np.nonzero(~ok[i : i + (PIECE >> 2)])[0]
-        earlier, lack, out = _earlier(around[at]), lacks[at], outside[at]
+        earlier = _earlier(around[at])
+        some = np.nonzero(least(lacks[at] & ((earlier < 0) | outside[at])) <= MISSING)[0]
+        if not len(some):
+            continue
+        at, earlier = at[some], earlier[some]
+        lack, out = lacks[at], outside[at]
         most = ((earlier < 0) & ~lack).sum(axis=1) * (1 / SIMILARITY - 1) + 1e-9
         lack &= ~out
         for start in range(WIDE - T + 1):
@@ -880,18 +890,21 @@ def _across(group: dict[str, np.ndarray], around: np.ndarray) -> list[tuple[int,
     n, width = len(ids), WIDE
     parts = [x[a:z] for x, a, z in zip(around, begin.tolist(), end.tolist(), strict=True)]
     row, place = np.nonzero((np.arange(width) >= begin[:, None]) & (np.arange(width) < end[:, None]))
-    value = np.unique(around[row, place], return_inverse=True)[1]
+    raw = around[row, place]
+    by = np.argsort(raw, kind="stable")
+    value = np.zeros(len(by), np.int64)
+    value[by[1:]] = np.cumsum(raw[by][1:] != raw[by][:-1])
     matrix = np.full((n, width), value.max(initial=-1) + 1, np.int32)
     matrix[row, place] = value
     # the places of every shingle in all windows of the block
     own = role[row] != 1
-    by = np.argsort(value[own], kind="stable")
-    at_row, at_place = row[own][by], place[own][by]
+    by = by[own[by]]
+    at_row, at_place = row[by], place[by]
     count = np.bincount(value[own], minlength=int(value.max(initial=-1)) + 2)
     first = np.cumsum(count) - count
     new = np.ones(len(by), np.bool_)  # and every window that holds it, once
-    new[1:] = (at_row[1:] != at_row[:-1]) | (np.diff(value[own][by]) != 0)
-    holder, once = at_row[new], np.searchsorted(value[own][by][new], np.arange(len(count) + 1))
+    new[1:] = (at_row[1:] != at_row[:-1]) | (np.diff(value[by]) != 0)
+    holder, once = at_row[new], np.cumsum(np.bincount(value[by][new] + 1, minlength=len(count) + 1))
     labels = np.unique(group["of_d"], return_inverse=True)[1]
     root, rows = labels.copy(), []
     asking, every = np.nonzero(role > 0)[0], np.nonzero(role != 1)[0]
@@ -905,14 +918,17 @@ def _across(group: dict[str, np.ndarray], around: np.ndarray) -> list[tuple[int,
             return
         of = starts[begin[x] : end[x] - T + 1]
         held = slice(of[0], of[-1] + T)
-        new = ((span[:, None] >= of) & (span[:, None] < of + T) & (earlier[x][:, None] < of)).astype(np.float32)
-        own = new.sum(axis=0)
-        needed = np.float32(SIMILARITY) * own - np.float32(1e-3)
         # how many shingles of the context each window holds, wherever they stand
-        mine = np.unique(matrix[x][begin[x] : end[x]])
+        mine = matrix[x][begin[x] : end[x]][earlier[x][begin[x] : end[x]] < 0]
+        least = T if len(mine) == end[x] - begin[x] else ((span >= of[:, None]) & (span < of[:, None] + T) & (earlier[x] < of[:, None])).sum(axis=1).min()
         many = once[mine + 1] - once[mine]
         at = np.repeat(once[mine] + many - np.cumsum(many), many) + np.arange(many.sum())
-        y = y[np.bincount(holder[at], minlength=n)[y] >= needed.min()]
+        y = y[np.bincount(holder[at], minlength=n)[y] >= SIMILARITY * least - 1e-3]
+        if not len(y):
+            return
+        new = ((span[:, None] >= of) & (span[:, None] < of + T) & (earlier[x][:, None] < of)).astype(np.float32)
+        own = new.sum(axis=0)
+        needed = np.float32(SIMILARITY) * own - np.float32(1e-3)
         lookup[matrix[x][::-1]] = span[::-1]  # the first place of each shingle
         first_place = lookup[matrix[x]]
         lookup[-1] = -1
