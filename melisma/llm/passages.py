@@ -15,11 +15,12 @@ if they also agree in the eleven shingles to the left or to the right of it: two
 * a larger group is split by the ``LAID`` stretches of shingles that lie over the window at every ``STEP``: two passages of
   fifty words that are equal share such a stretch, and those that share a line with many more documents share one that
   reaches out of the line. Stretches of up to ``SMALL`` windows are paired all with all; in larger ones every window meets
-  the first, its predecessor, and the one that shares most large stretches with others. What verified links then leave in
-  different classes of a large group is compared with the best linked document of each of the two largest classes of
-  the group, such as the original of many passages that differ from it in a word each, as long as this joins classes;
+  the first, its predecessor, and the one that shares most large stretches with others. Where verified links then leave
+  more than ``OUTSIDE`` windows outside a group's largest class, they are compared with the best linked document of each of
+  its two largest classes, such as the original of many passages that differ from it in a word each, as long as this joins
+  classes;
 * what is still in different classes of a large group is compared in full, in blocks, so that every two windows of a group
-  end in one class or have been compared.
+  end in one class, have been compared, or have too few shingles in common to pass.
 
 A region of a document is a candidate when the windows of ``NEED`` functions meet in it (a stabbing join of their
 intervals). For each pair of documents and alignment the place where most windows meet is verified on the shingles around
